@@ -6,10 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import packing, token_counts, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file, where the package of them is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,7 +44,10 @@ FROM t JOIN g USING (norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
