@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts write it.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch between Spark and Python at most (a single row may be larger): long texts and index
+#: blocks must not meet by the thousand.
+BATCH_BYTES = 64 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -51,7 +56,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once for each application."""
+    """Send this package to the Python workers once for each application; bound the bytes of an Arrow batch."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
