@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_counts, topk, warc
+from . import packing, sharding, token_counts, topk, toxicity, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -26,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), limit=2048)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=24)
 
@@ -64,6 +68,7 @@ FROM t JOIN g USING (norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
         "op3_kd_sharding": op3_kd_sharding,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_counts": op5_token_counts,
