@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_counts, topk, toxicity, warc
+from . import jaccard, packing, sharding, token_counts, topk, toxicity, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -65,6 +65,10 @@ FROM t JOIN g USING (norm)
 """
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_top_k": op6_top_k,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
     }
 
 
