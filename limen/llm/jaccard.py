@@ -373,7 +373,8 @@ def _node_sets(rows: DataFrame, whole: DataFrame, wanted: DataFrame, n: int) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that have the smallest id of their component, all columns."""
+    """The rows of docs that have the smallest id of their component, all columns. Ids are taken as unique: rows
+    that repeat an id go if one of them does."""
     found = similar_sets(docs, id_col, text_col, n, percent)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, sharding, token_counts, topk, toxicity, warc
+from . import jaccard, packing, sharding, substring, token_counts, topk, toxicity, unigram, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -69,6 +69,28 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(generate_series(1, len(lines))) AS k, lines FROM d),
+v AS (SELECT doc_id, k, lines[k] AS line,
+        1 + coalesce(cast(list_sum([length(x) + 1 for x in lines[1:k-1]]) AS BIGINT), 0) - 1 AS start,
+        trim(regexp_replace(translate(lines[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g')) AS norm FROM u),
+r AS (SELECT *, len(string_split(norm, ' ')) >= 8 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM v)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(concat(start, '-', start + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed_spans,
+    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id
+"""
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -79,6 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_top_k": op6_top_k,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
@@ -86,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
         "op6_top_k": OP6_SQL,
+        "op9_substring_dedup": OP9_SQL,
     }
