@@ -38,7 +38,8 @@ MOST_STEMS = 20_000
 #: Log of how much likelier a stem is in toxic documents.
 LEAST_WEIGHT = 2.5
 NEAR = 4
-KEPT_WORDS = 1_000_000
+#: Word forms that a worker keeps.
+KEPT_WORDS = 300_000
 
 # Insults and second-person words.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers trash garbage worthless pathetic disgusting scum clown fool jerk creep ugly filthy vermin hate kill shut".split())
@@ -68,7 +69,7 @@ class Words:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.at: dict[str, int] = {}
-        self.rows: list[tuple] = []
+        self.rows = np.zeros((4096, 13), np.float32)
 
     def learn(self, word: str) -> int:
         form = plain(word)
@@ -81,14 +82,15 @@ class Words:
         letters = len(_LETTERS.findall(word))
         signs = sum(not c.isalnum() and not c.isspace() for c in word)
         marks = word.count("!") + word.count("?")
-        self.rows.append((weight, form in INSULTS, form in SECOND, letters, upper, upper > 1 and upper == letters, signs, marks, bool(_ODD.search(word)), bool(_LONG.search(word)), len(word), which, bool(form)))
-        at = self.at[word] = len(self.rows) - 1
+        at = self.at[word] = len(self.at)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = (weight, form in INSULTS, form in SECOND, letters, upper, upper > 1 and upper == letters, signs, marks, bool(_ODD.search(word)), bool(_LONG.search(word)), len(word), which % (1 << 20), bool(form))
         return at
 
     def features(self, text: str | None) -> np.ndarray:
-        if len(self.rows) > KEPT_WORDS:
+        if len(self.at) > KEPT_WORDS:
             self.at.clear()
-            self.rows.clear()
         words = (text or "").split()
         at = list(map(self.at.get, words))
         if None in at:
@@ -97,7 +99,7 @@ class Words:
                     at[i] = self.at.get(words[i], -1)
                     if at[i] < 0:
                         at[i] = self.learn(words[i])
-        rows = self._table()[at] if at else np.zeros((0, 13))
+        rows = self.rows[at].astype(float) if at else np.zeros((0, 13))
         n = max(1.0, rows[:, 12].sum()) if len(rows) else 1.0
         weight = rows[:, 0]
         hit = (weight > 0) | (rows[:, 1] > 0)
@@ -116,29 +118,14 @@ class Words:
             len(np.unique(rows[weight > 0, 11])),
         ])
 
-    def _table(self) -> np.ndarray:
-        done = getattr(self, "_made", np.zeros((0, 13)))
-        if getattr(self, "_of", None) is not self.rows or len(done) > len(self.rows):
-            done = np.zeros((0, 13))
-        n = len(self.rows)
-        if len(self._room if hasattr(self, "_room") else ()) < n or len(done) == 0:
-            room = np.zeros((max(1024, 2 * n), 13))
-            room[: len(done)] = done
-            self._room = room
-        if n > len(done):
-            self._room[len(done) : n] = self.rows[len(done) :]
-        self._made, self._of = self._room[:n], self.rows
-        return self._made
-
 
 _words: dict[int, Words] = {}
 
 
 def words_of(key: int, lexicon: dict[str, float]) -> Words:
-    """The worker's own table for one lexicon; only the latest few are kept."""
+    """The worker's own table for one lexicon; only the latest is kept."""
     if key not in _words:
-        while len(_words) > FOLDS:
-            _words.pop(next(iter(_words)))
+        _words.clear()
         _words[key] = Words(lexicon)
     return _words[key]
 
