@@ -5,6 +5,7 @@ of all tokens, share a token; the order puts the most frequent tokens last (a bo
 rare and does not change what links). So the matrix has a row (token, node) for prefix tokens only.
 
 1. Leaders: each token's nodes are compared with one leader, not with each other: links are linear in the matrix.
+   Prefixes alone exclude most of these pairs; sets are made for the others only.
    The nodes linked so far form components, the similar parts of the partition.
 2. While a token's nodes lie in several components, further leaders follow, for a few rounds.
 3. What is left is decided by groups: each component is cut into groups of some ``GROUP`` nodes, which store the
@@ -35,12 +36,14 @@ from .common import remove, saved, ship, work_dir
 
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Tokens of the list that goes last at most, and the documents of one Arrow batch that must share such a token.
-FREQUENT = 1 << 17
-FREQUENT_LOCAL = 5
+#: Tokens of the list that goes last at most, the different sets of one Arrow batch that must share such a token
+#: to count, and how many must in all. The list bears on speed only.
+FREQUENT = 1 << 20
+FREQUENT_LOCAL = 3
+FREQUENT_TOTAL = 8
 GROUP = 32
-LEADER_ROUNDS = 4
-KEPT_WORDS = 1_000_000
+LEADER_ROUNDS = 2
+KEPT_WORDS = 400_000
 FILTER_BITS = 1 << 24
 
 _hashes: dict[bytes, int] = {}
@@ -118,7 +121,8 @@ def _sets(docs: DataFrame, n: int, frequent: bool) -> DataFrame:
             sets = [shingles(t.as_py(), n) for t in b.column(1)]
             sizes = [len(s) for s in sets]
             nodes = [node_of(s) for s in sets]
-            u, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            once = list({k: s for k, s in zip(nodes, sets)}.values())
+            u, c = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
             u, c = u[c >= FREQUENT_LOCAL], c[c >= FREQUENT_LOCAL]
             m = len(u)
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +140,7 @@ def _sets(docs: DataFrame, n: int, frequent: bool) -> DataFrame:
 
 
 def _matrix(docs: DataFrame, n: int, frequent, percent: int) -> DataFrame:
-    """(token, node, n, often, score): prefix tokens of each document's set."""
+    """(node, n, score, rare, tokens): the prefix of each document's set, the first ``rare`` tokens not frequent."""
 
     def run(batches):
         import pyarrow as pa
@@ -145,23 +149,17 @@ def _matrix(docs: DataFrame, n: int, frequent, percent: int) -> DataFrame:
 
         late = frequent.value
         for b in batches:
-            token, node, size, often, score = [], [], [], [], []
-            seen = set()
+            out = {}
             for t in b.column(1):
                 s = shingles(t.as_py(), n)
-                if len(s) and (k := node_of(s)) not in seen:
-                    seen.add(k)
-                    p, o, share = prefix(s, late, percent)
-                    token.append(p)
-                    often.append(o)
-                    node.append(np.full(len(p), k, np.int64))
-                    size.append(np.full(len(p), len(s), np.int32))
-                    score.append(np.full(len(p), share, np.int16))
-            if token:
-                cols = [np.concatenate(x) for x in (token, node, size, often, score)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["token", "node", "n", "often", "score"])
+                if len(s) and (k := node_of(s)) not in out:
+                    p, often, share = prefix(s, late, percent)
+                    out[k] = (len(s), share, int((~often).sum()), p.view(np.int64))
+            kinds = (pa.int32(), pa.int16(), pa.int32(), pa.list_(pa.int64()))
+            cols = list(zip(*out.values())) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["node", "n", "score", "rare", "tokens"])
 
-    return docs.mapInArrow(run, "token long, node long, n int, often boolean, score short")
+    return docs.mapInArrow(run, "node long, n int, score short, rare int, tokens array<bigint>")
 
 
 def _chief() -> Column:
@@ -174,10 +172,11 @@ def _shared_tokens(matrix: DataFrame) -> DataFrame:
 
     Tokens outside the list of frequent ones are held by few documents, and a window over them is enough; those of
     the list may be held by any number: they are aggregated first and joined, which splits skewed tokens."""
-    rare = matrix.where("not often").select("token", "node", "n", "score")
+    each = matrix.select("node", "n", "score", "rare", F.posexplode("tokens").alias("at", "token"))
+    rare = each.where("at < rare").select("token", "node", "n", "score")
     by = Window.partitionBy("token")
     some = rare.withColumn("chief", _chief().over(by)).withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo < hi").drop("lo", "hi")
-    often = matrix.where("often").select("token", "node", "n", "score").distinct()
+    often = each.where("at >= rare").select("token", "node", "n", "score").distinct()
     chiefs = often.groupBy("token").agg(_chief().alias("chief"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     return some.unionByName(often.join(chiefs, "token").select(*some.columns))
 
@@ -188,6 +187,43 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("chief.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def may_link(a: np.ndarray, rare_a: int, n_a: int, b: np.ndarray, rare_b: int, n_b: int, percent: int = PERCENT) -> bool:
+    """Whether two sets can link by what their prefixes share. Up to the end of the prefix that ends first both are
+    known; behind it they share at most what is left of the smaller rest."""
+    if not len(a) or not len(b):
+        return False
+
+    def upto(x, rare_x, y, rare_y):
+        # tokens of prefix x up to the last of prefix y, in the common order
+        last = y[-1]
+        return np.searchsorted(x[:rare_x], last, "right") if len(y) == rare_y else rare_x + np.searchsorted(x[rare_x:], last, "right")
+
+    in_a, in_b = upto(a, rare_a, b, rare_b), upto(b, rare_b, a, rare_a)
+    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+    both = len(np.intersect1d(short, long_, assume_unique=True))
+    top = both + min(n_a - in_a, n_b - in_b)
+    return 100 * top >= percent * (n_a + n_b - top)
+
+
+def _possible(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(a, b, open) of pairs: whether their prefixes leave a link possible."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from limen.llm.jaccard import may_link
+
+        read = lambda t: t.values.to_numpy().view(np.uint64)
+        for c in batches:
+            sizes = [c.column(i).to_pylist() for i in (2, 3, 5, 6)]
+            found = [may_link(read(x), rx, nx, read(y), ry, ny, percent) for nx, rx, ny, ry, x, y in zip(*sizes, c.column(4), c.column(7))]
+            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(found, pa.bool_())], ["a", "b", "open"])
+
+    side = lambda k: matrix.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "rare", "tokens")])
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "rare_a", "tokens_a", "n_b", "rare_b", "tokens_b")
+    return both.mapInArrow(run, "a long, b long, open boolean")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, link) of pairs."""
 
@@ -292,40 +328,44 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     first = saved(_sets(rows, n, True), "sets")
     whole = first.where("times IS NULL").select("id", "n", "node")
-    often = first.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("t")).orderBy(F.col("t").desc(), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    often = first.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT_TOTAL)
+    late = often.orderBy(F.col("t").desc(), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
+    frequent = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
 
     path = work_dir(spark, "matrix")
     matrix = saved(_matrix(rows, n, frequent, percent), "matrix", path)
     shared = saved(_shared_tokens(matrix), "shared")
+    prefixes = matrix.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    prefixes = saved(prefixes, "prefixes")
     remove(spark, path)
-
-    nodes = whole.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets = saved(_node_sets(rows, whole, shared.select("node").distinct(), n), "tokens")
-
-    compared = saved(_compared(_pairs(shared, percent), sets, percent), "compared")
-    links = compared.where("link").select("a", "b")
+    nodes = whole.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, link) of all pairs: by their prefixes first, then by their sets."""
+        tried = saved(_possible(pairs, prefixes, percent), "possible")
+        left_open = tried.where("open").select("a", "b")
+        wanted = left_open.select(F.col("a").alias("node")).unionByName(left_open.select(F.col("b").alias("node"))).distinct()
+        done = _compared(left_open, _node_sets(rows, nodes, wanted, n), percent)
+        return saved(done.unionByName(tried.where("not open").select("a", "b", F.col("open").alias("link"))), "compared")
+
+    led = verified(_pairs(shared, percent))
+    links = led.where("link").select("a", "b")
     left = shared.where("node <> chief.node").drop("chief")
-    led = compared
     comp = components(links)
-    for _ in range(LEADER_ROUNDS):
+    for turn in range(LEADER_ROUNDS + 1):
         left = saved(_unsettled(_with_comp(left, comp)), "left")
-        size = left.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("node").alias("nodes")).first()
-        if not size["rows"]:
-            break
-        work = left.groupBy("token").agg((F.count(F.lit(1)) * F.countDistinct("comp")).alias("w")).agg(F.sum("w")).first()[0]
-        if work <= 32 * size["nodes"]:
+        work = left.groupBy("token").agg((F.count(F.lit(1)) * (F.countDistinct("comp") - 1)).alias("w"), F.count(F.lit(1)).alias("rows")).agg(F.sum("w"), F.sum("rows")).first()
+        if not work[0] or work[0] <= 8 * work[1] or turn == LEADER_ROUNDS:
             break
         chiefs = left.groupBy("token").agg(F.max(F.struct("score", "node", "n", "comp")).alias("chief"))
         again = left.join(chiefs, "token")
-        pairs = _pairs(again.where("comp <> chief.comp"), percent).join(led.select("a", "b"), ["a", "b"], "left_anti").join(led.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        compared = saved(_compared(pairs, sets, percent), "compared")
-        led = led.unionByName(compared)
-        links = links.unionByName(compared.where("link").select("a", "b"))
+        turned = led.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        pairs = _pairs(again.where("comp <> chief.comp"), percent).join(led.select("a", "b").unionByName(turned), ["a", "b"], "left_anti")
+        found = verified(pairs)
+        led = led.unionByName(found)
+        links = links.unionByName(found.where("link").select("a", "b"))
         left = again.where("node <> chief.node").drop("chief")
         comp = components(links)
-    else:
-        left = saved(_unsettled(_with_comp(left, comp)), "left")
 
     if not left.isEmpty():
         sizes = left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
@@ -336,6 +376,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .where(f"comp > gc AND 100 * hi >= {percent} * n AND {percent} * lo <= 100 * n")
             .select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct()
         )
+        sets = saved(_node_sets(rows, nodes, parted.select("node").distinct(), n), "tokens")
         found = saved(_opened(asked, sets, saved(_groups(parted, sets), "groups"), percent), "opened")
         if not found.isEmpty():
             comp = components(links.unionByName(found))
@@ -348,7 +389,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _node_sets(rows: DataFrame, whole: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _node_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, tokens) of the wanted nodes, each from one document that has it."""
 
     def run(batches):
@@ -360,7 +401,7 @@ def _node_sets(rows: DataFrame, whole: DataFrame, wanted: DataFrame, n: int) ->
             sets = [shingles(t.as_py(), n) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    reps = whole.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    reps = saved(nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id")), "reps")
     at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # a filter of fixed size keeps most other texts out of the shuffle
     bits = saved(reps.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
@@ -369,7 +410,7 @@ def _node_sets(rows: DataFrame, whole: DataFrame, wanted: DataFrame, n: int) ->
     passing = marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select("id", "text")
     texts = passing.join(reps.select("id"), passing["id"].eqNullSafe(reps["id"]), "left_semi")
     # an id may repeat with several texts: only sets that are wanted stay, each once
-    return texts.select("text").mapInArrow(run, "node long, tokens binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return texts.select("text").mapInArrow(run, "node long, tokens binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
