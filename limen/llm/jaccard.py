@@ -9,9 +9,9 @@ rare and does not change what links). So the matrix has a row (token, node) for
    The nodes linked so far form components, the similar parts of the partition.
 2. While a token's nodes lie in several components, further leaders follow, for a few rounds.
 3. What is left is decided by groups: each component is cut into groups of some ``GROUP`` nodes, which store the
-   union of their members' tokens. A node whose overlap with a group's union stays below three quarters of its own
-   size can link to no member, and the group stays closed; other groups are opened, and their members compared
-   until one links (one is enough, as members of a group are connected).
+   union of their members' prefix tokens. A node whose overlap with a group's union, with all that the node has
+   beyond, stays below three quarters of its own size can link to no member, and the group stays closed; groups
+   that qualify are opened, and the node is compared with their members.
 
 Every pair of nodes that shares a prefix token is so compared, excluded by a bound, or connected already; no link
 between components is lost. Components come from contracting the links.
@@ -259,55 +259,50 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def _groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(comp, part, members, all): groups of a component with their members' tokens and the union of these."""
+def _groups(parted: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(comp, part, all, late, last): of each group the union of its members' prefixes, and the prefix end that
+    comes first among them (whether it is a frequent token, and the token)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            members = b.column(2).to_pylist()
-            union = [np.unique(np.concatenate([np.frombuffer(t["tokens"], np.uint64) for t in m])).tobytes() for m in members]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(union, pa.binary())], ["comp", "part", "members", "all"])
+            out = []
+            for members in b.column(2):
+                sets = [(int(m["rare"].as_py()), m["tokens"].values.to_numpy().view(np.uint64)) for m in members.values]
+                late, last = min((int(rare < len(t)), int(t[-1])) for rare, t in sets)
+                out.append((np.unique(np.concatenate([t for _, t in sets])).tobytes(), late, last.to_bytes(8, "little")))
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["comp", "part", "all", "late", "last"])
 
-    nodes = rows.select("comp", "part", "node").distinct().join(sets, "node")
-    grouped = nodes.groupBy("comp", "part").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
-    return grouped.mapInArrow(run, "comp long, part int, members array<struct<node: long, tokens: binary>>, all binary")
+    nodes = parted.select("comp", "part", "node").distinct().join(prefixes, "node")
+    grouped = nodes.groupBy("comp", "part").agg(F.collect_list(F.struct("rare", "tokens")).alias("members"))
+    return grouped.mapInArrow(run, "comp long, part int, all binary, late int, last binary")
 
 
-def _opened(asked: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of nodes with groups (node, comp, part): the first found for each."""
+def _qualifying(asked: DataFrame, prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The rows (node, comp, part) of asked whose group may hold a set that links: what the node shares with the
+    group's union up to the first prefix end, and all the node has behind that, reach what a link needs."""
 
-    def bounded(batches):
+    def run(batches):
         import pyarrow as pa
 
         from limen.llm.jaccard import least_shared
 
         for b in batches:
             keep = []
-            for q, union in zip(b.column(3), b.column(4)):
-                q, union = np.frombuffer(q.as_py(), np.uint64), np.frombuffer(union.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                keep.append(int((union[at] == q).sum()) >= least_shared(len(q), percent))
-            yield pa.RecordBatch.from_arrays(b.columns[:4], b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
-
-    def opened(batches):
-        import pyarrow as pa
-
-        from limen.llm.jaccard import linked
-
-        for b in batches:
-            out = []
-            for node, q, members in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                q = np.frombuffer(q.as_py(), np.uint64)
-                hit = next((m["node"].as_py() for m in members.values if linked(q, np.frombuffer(m["tokens"].as_py(), np.uint64), percent)), None)
-                if hit is not None:
-                    out.append((node, hit))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for n, rare, tokens, union, late, last in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), b.column(6), b.column(7).to_pylist(), b.column(8)):
+                t = tokens.values.to_numpy().view(np.uint64)
+                union = np.frombuffer(union.as_py(), np.uint64)
+                end = np.uint64(int.from_bytes(last.as_py(), "little"))
+                known = np.concatenate([t[:rare], t[rare:][t[rare:] <= end]]) if late else t[:rare][t[:rare] <= end]
+                at = np.minimum(np.searchsorted(union, known), len(union) - 1)
+                keep.append(int((union[at] == known).sum()) + n - len(known) >= least_shared(n, percent))
+            yield pa.RecordBatch.from_arrays(b.columns[:3], b.schema.names[:3]).filter(pa.array(keep, pa.bool_()))
 
-    own = asked.join(sets.select("node", "tokens"), "node")
-    near = own.join(groups.select("comp", "part", "all"), ["comp", "part"]).select("node", "comp", "part", "tokens", "all").mapInArrow(bounded, "node long, comp long, part int, tokens binary")
-    return near.join(groups.select("comp", "part", "members"), ["comp", "part"]).select("node", "tokens", "members").mapInArrow(opened, "a long, b long")
+    own = asked.join(prefixes.select("node", "n", "rare", "tokens"), "node")
+    both = own.join(groups, ["comp", "part"]).select("node", "comp", "part", "n", "rare", "tokens", "all", "late", "last")
+    return both.mapInArrow(run, "node long, comp long, part int")
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -376,10 +371,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .where(f"comp > gc AND 100 * hi >= {percent} * n AND {percent} * lo <= 100 * n")
             .select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct()
         )
-        sets = saved(_node_sets(rows, nodes, parted.select("node").distinct(), n), "tokens")
-        found = saved(_opened(asked, sets, saved(_groups(parted, sets), "groups"), percent), "opened")
+        groups = saved(_groups(parted, prefixes), "groups")
+        opened = _qualifying(asked, prefixes, groups, percent).withColumnRenamed("node", "a")
+        members = parted.select("comp", "part", F.col("node").alias("b")).distinct()
+        found = verified(opened.join(members, ["comp", "part"]).select("a", "b").distinct()).where("link")
         if not found.isEmpty():
-            comp = components(links.unionByName(found))
+            comp = components(links.unionByName(found.select("a", "b")))
 
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
