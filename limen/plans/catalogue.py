@@ -628,7 +628,7 @@ def conditional_clip(spark, sf):
     return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") >= 0.05, "high").when(F.col("l_discount") > 0, "low").otherwise("none").alias("level"), F.greatest(F.lit(1.0), F.least(F.lit(10.0), "l_quantity")).alias("clipped"))
 
 
-@query("SELECT p_brand, count(*) AS n, count(*) FILTER (p_size >= 20) AS eligible, round(100.0 * (1 - count(*) FILTER (p_size >= 20) / count(*)), 6) AS pct_excluded, arg_max(p_partkey, p_size * 100000000 + p_partkey) AS largest FROM part GROUP BY 1")
+@query("SELECT p_brand, count(*) AS n, count(*) FILTER (p_size >= 20) AS eligible, round(100.0 * (1 - count(*) FILTER (p_size >= 20) / count(*)), 6) AS pct_excluded, arg_max(p_partkey, cast(p_size AS BIGINT) * 100000000 + p_partkey) AS largest FROM part GROUP BY 1")
 def exclusion_summary(spark, sf):
     return shown(read(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") >= 20).alias("eligible"), (100.0 * (1 - F.count_if(F.col("p_size") >= 20) / F.count(F.lit(1)))).alias("pct_excluded"), F.max_by("p_partkey", F.col("p_size").cast("long") * 100000000 + F.col("p_partkey")).alias("largest")))
 
