@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from limen.plans import more  # noqa: F401  registers its queries
 from limen.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
