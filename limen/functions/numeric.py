@@ -27,7 +27,12 @@ def clip(c: str | Column, low: float, high: float) -> Column:
 
 def harmonic_n(n1: str | Column, n2: str | Column) -> Column:
     """Effective number of a pair: 2 / (1/n1 + 1/n2)."""
-    return F.lit(2.0) / (F.lit(1.0) / col(n1) + F.lit(1.0) / col(n2))
+    return F.try_divide(F.lit(2.0), F.try_divide(F.lit(1.0), col(n1)) + F.try_divide(F.lit(1.0), col(n2)))
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson r as an aggregate, null where a side is constant (the built-in raises an error under ANSI)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def erfc(c: str | Column) -> Column:

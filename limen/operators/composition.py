@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limen.functions.numeric import harmonic_n, hash_number
+from limen.functions.numeric import correlation, harmonic_n, hash_number
 
 def by_donor():
     return Window.partitionBy("donor")
@@ -27,7 +27,7 @@ def pair_criterion(pairs: DataFrame, least: int = 50) -> DataFrame:
 def library_shares(pairs: DataFrame, least: int = 0) -> DataFrame:
     """Adds t1, t2 and f1, f2 (shares of the library); donors with a library below ``least`` go."""
     out = pairs.withColumns({"t1": F.sum("n1").over(by_donor()), "t2": F.sum("n2").over(by_donor())})
-    return out.where((F.col("t1") >= max(least, 1)) & (F.col("t2") >= max(least, 1))).withColumns({"f1": F.col("n1") / F.col("t1"), "f2": F.col("n2") / F.col("t2")})
+    return out.where((F.col("t1") >= max(least, 1)) & (F.col("t2") >= max(least, 1))).withColumns({"f1": F.try_divide("n1", "t1"), "f2": F.try_divide("n2", "t2")})
 
 
 def descriptive_pairs(pairs: DataFrame, least: int = 50) -> DataFrame:
@@ -38,7 +38,7 @@ def descriptive_pairs(pairs: DataFrame, least: int = 50) -> DataFrame:
 def weighted_pairs(pairs: DataFrame, least: int = 50) -> DataFrame:
     """z with the share pooled over cells and n_eff of library totals; pairs with p outside (0, 1) or z = 0 go."""
     s = library_shares(pairs, least).withColumn("p", (F.col("n1") + F.col("n2")) / (F.col("t1") + F.col("t2"))).where("p > 0 AND p < 1")
-    z = F.abs(F.col("f1") - F.col("f2")) / F.sqrt(F.col("p") * (1 - F.col("p")))
+    z = F.try_divide(F.abs(F.col("f1") - F.col("f2")), F.sqrt(F.col("p") * (1 - F.col("p"))))
     return s.select("donor", "celltype", "p", harmonic_n("t1", "t2").alias("n_eff"), z.alias("z")).where("z > 0")
 
 
@@ -80,7 +80,7 @@ def kappa_by(pairs: DataFrame, *keys: str, least: int = 1) -> DataFrame:
 def abundance_correlation(by_type: DataFrame) -> DataFrame:
     """Pearson r of ln(mean share) and kappa; null unless there are three types with positive shares."""
     fine = (F.count(F.lit(1)) > 2) & (F.min("mean_fraction") > 0)
-    return by_type.agg(F.when(fine, F.corr(F.ln("mean_fraction"), F.col("kappa"))).alias("abundance_r"), F.count(F.lit(1)).alias("n_types"))
+    return by_type.agg(F.when(fine, correlation(F.ln("mean_fraction"), F.col("kappa"))).alias("abundance_r"), F.count(F.lit(1)).alias("n_types"))
 
 
 def multiplicities(donors: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limen.functions.numeric import harmonic_n
+from limen.functions.numeric import correlation, harmonic_n
 from limen.operators.composition import indexed_donors, multiplicities
 
 
@@ -40,12 +40,12 @@ def floors(both: DataFrame, keys: list[str], min_genes: int = 200) -> DataFrame:
     how many; pairs with fewer than min_genes features or an empty library have none."""
     w = Window.partitionBy(*keys)
     x = both.withColumns({"t1": F.sum("c1").over(w), "t2": F.sum("c2").over(w)}).where("t1 > 0 AND t2 > 0 AND (c1 > 0 OR c2 > 0)")
-    x = x.withColumns({"m1": F.col("c1") * 1e6 / F.col("t1"), "m2": F.col("c2") * 1e6 / F.col("t2")})
+    x = x.withColumns({f"m{i}": F.try_divide(F.col(f"c{i}") * 1e6, F.col(f"t{i}")) for i in (1, 2)})
     return (
         x.groupBy(*keys)
         .agg(
             F.percentile(F.abs(F.log2(F.col("m1") + 1) - F.log2(F.col("m2") + 1)), 0.5).alias("floor"),
-            F.corr(F.log1p("m1"), F.log1p("m2")).alias("r"),
+            correlation(F.log1p("m1"), F.log1p("m2")).alias("r"),
             F.count(F.lit(1)).alias("n_genes"),
             harmonic_n(F.first("t1"), F.first("t2")).alias("n_eff"),
         )
@@ -107,5 +107,5 @@ def slope_bootstrap(df: DataFrame, n_boot: int, seed: int = 0, x: str = "n_eff",
 
 def partial_correlation(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:
     """Correlation of x and y with z held fixed, from the three plain ones."""
-    r = df.agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
+    r = df.agg(correlation(x, y).alias("xy"), correlation(x, z).alias("xz"), correlation(y, z).alias("yz"))
     return r.select(((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial_r"))
