@@ -173,10 +173,10 @@ def _shared_tokens(matrix: DataFrame) -> DataFrame:
     Tokens outside the list of frequent ones are held by few documents, and a window over them is enough; those of
     the list may be held by any number: they are aggregated first and joined, which splits skewed tokens."""
     each = matrix.select("node", "n", "score", "rare", F.posexplode("tokens").alias("at", "token"))
-    rare = each.where("at < rare").select("token", "node", "n", "score")
+    rare = each.where("at < rare").select("token", "node", "n", "score", "at")
     by = Window.partitionBy("token")
     some = rare.withColumn("chief", _chief().over(by)).withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo < hi").drop("lo", "hi")
-    often = each.where("at >= rare").select("token", "node", "n", "score").distinct()
+    often = each.where("at >= rare").select("token", "node", "n", "score", "at").distinct()
     chiefs = often.groupBy("token").agg(_chief().alias("chief"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     return some.unionByName(often.join(chiefs, "token").select(*some.columns))
 
@@ -364,13 +364,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     if not left.isEmpty():
         sizes = left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-        parted = saved(left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int")).select("token", "node", "n", "comp", "part"), "parted")
-        held = parted.groupBy("token", "comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("comp", "gc").withColumnRenamed("part", "gp")
-        asked = (
-            parted.select("token", "node", "n", "comp").join(held, "token")
+        parted = saved(left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int")).select("token", "node", "n", "at", "comp", "part", "m"), "parted")
+        held = parted.groupBy("token", "comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("m").alias("m")).withColumnRenamed("comp", "gc").withColumnRenamed("part", "gp")
+        met = (
+            parted.drop("m", "part").join(held, "token")
             .where(f"comp > gc AND 100 * hi >= {percent} * n AND {percent} * lo <= 100 * n")
-            .select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct()
+            .groupBy("node", F.col("gc").alias("comp"), F.col("gp").alias("part"))
+            .agg(F.count(F.lit(1)).alias("both"), F.max("at").alias("at"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("m").alias("m"))
+            .withColumn("top", F.col("both") + F.col("n") - F.col("at") - 1)
         )
+        # for a single node: all that the two share up to the last shared token is counted, behind it is the rest
+        asked = met.where(f"m > 1 OR 100 * top >= {percent} * (n + lo - top)").select("node", "comp", "part")
         groups = saved(_groups(parted, prefixes), "groups")
         opened = _qualifying(asked, prefixes, groups, percent).withColumnRenamed("node", "a")
         members = parted.select("comp", "part", F.col("node").alias("b")).distinct()
