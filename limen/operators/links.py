@@ -80,6 +80,14 @@ def quantile_rank(value: str, *partition: str) -> Column:
     return average_rank(value, *partition) / F.count(F.lit(1)).over(Window.partitionBy(*partition))
 
 
+def strict_links(tests: DataFrame, variances: DataFrame, least_r: float = 0.45, most_q: float = 1e-4, least_quantile: float = 0.25) -> DataFrame:
+    """Tests (x, y, r, q) that are strong, pass false discovery, and whose features both vary more than a quantile.
+    variances: (feature, quantile)."""
+    fine = variances.where(F.col("quantile") > least_quantile).select("feature")
+    kept = tests.where((F.col("r") >= least_r) & (F.col("q") <= most_q))
+    return kept.join(fine, kept["x"] == fine["feature"], "left_semi").join(fine.withColumnRenamed("feature", "other"), F.col("y") == F.col("other"), "left_semi")
+
+
 def haldane(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Odds ratio of a 2 x 2 table with a half in each cell."""
     return ((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5))

@@ -39,9 +39,16 @@ def positional_or_vs_null(spark, sf):
     return shown(L.mantel_haenszel(t, "chrom", correct=True))
 
 
-@query(f"WITH {K._R} SELECT x, y, round(r, 6) AS r FROM rr WHERE r >= 0.1")
+@query(f"""WITH {K._R}, {K._P}, k AS (SELECT *, p * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p, test) AS raw FROM ps),
+q AS (SELECT test, least(1.0, min(raw) OVER (PARTITION BY fam ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS q FROM k), v AS (SELECT feature, split_part(feature, '-', 1) AS fam, sum(value * value) AS v FROM ob GROUP BY 1, 2),
+vq AS (SELECT feature, (rank() OVER (PARTITION BY fam ORDER BY v) + (count(*) OVER (PARTITION BY fam, v) - 1) / 2.0) / count(*) OVER (PARTITION BY fam) AS z FROM v)
+SELECT x, y, round(r, 6) AS r, round(q, 6) AS q FROM rr JOIN q ON test = concat(x, '|', y) JOIN vq a ON a.feature = x JOIN vq b ON b.feature = y WHERE round(r, 6) >= 0.02 AND round(q, 6) <= 0.5 AND a.z > 0.25 AND b.z > 0.25""")
 def archr_style_links(spark, sf):
-    return shown(K._r(spark, sf).where("r >= 0.1"))
+    r = K._r(spark, sf)
+    q = L.bh_q(K._p(spark, sf), "fam").select("test", "q")
+    tests = r.withColumn("test", F.concat_ws("|", "x", "y")).join(q, "test").select("x", "y", rounded("r").alias("r"), rounded("q").alias("q"))
+    v = cells(spark, sf).groupBy("feature", F.split("feature", "-")[0].alias("fam")).agg(F.sum(F.col("value") * F.col("value")).alias("v"))
+    return L.strict_links(tests, v.select("feature", L.quantile_rank("v", "fam").alias("quantile")), 0.02, 0.5)
 
 
 _CURVE = f"""WITH {COUNTS}, {K._SUMS}, dn AS (SELECT donor, row_number() OVER (ORDER BY donor) - 1 AS i, count(*) OVER () AS n FROM per),
