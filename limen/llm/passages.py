@@ -1,0 +1,188 @@
+"""Repeated passages wherever they stand: runs of words that an earlier place has are cut, whatever lines hold them.
+
+A text is its words (parts between ASCII white space, A-Z in lower case). Of every ``least`` consecutive words (a
+window) that stand at several places, the first by document id and then place stays; the words of the others are
+cut, so a run of ``least`` words or more that an earlier place has is cut from its first word to its last, within a
+line or over several. A window that overlaps its own first place (periodic text) gives only the words beyond it.
+
+Windows are many, so most are left out first, without loss: of the hashes of runs of half a window, each window
+picks its smallest (winnowing); equal windows pick the same one, so only windows whose pick stands at several places
+can be repeated. Those are compared by 128-bit digests of all their words. Equal picks and windows never meet in one
+task: their number and first place are aggregates, and joins find the places, of which Spark splits skewed parts.
+
+What is cut goes with the white space before it, at the start of a text with that behind it. Spans are given as
+characters of the original, from the first word to the last.
+
+Defined results: null and shorter texts lose nothing, a null text stays null; a null id ranks last; rows that repeat
+an id and its text lose the same; words that meet over a cut are not looked at again; an empty table gives an empty
+result. Other columns are carried only by ``without_passages``.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved, ship
+from .substring import _keyed
+
+LEAST = 50
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_FACTOR = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The factor's powers 0 to n - 1 and their inverses, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        most = max(n, 1 << 15)
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(most - 1, f, np.uint64)]) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def picks(words: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of words: where its pick starts, and the pick's hash."""
+    import xxhash
+
+    n, half = len(words), (least + 1) // 2
+    if n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    up, down = _power(n)
+    sums = np.r_[np.uint64(0), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * up)]
+    run = (sums[half:] - sums[:-half]) * down[: n - half + 1]
+    run = (run ^ (run >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    run ^= run >> np.uint64(29)
+    at = np.arange(n - least + 1) + np.lib.stride_tricks.sliding_window_view(run, least - half + 1).argmin(axis=1)
+    return at, run[at].view(np.int64)
+
+
+def _marks(docs: DataFrame, least: int) -> DataFrame:
+    """(id, key, mark, n): the picks of each text and how many places they have in it."""
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        from limen.llm.passages import picks
+
+        for b in batches:
+            of, marks, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, t in enumerate(b.column(2)):
+                at, mark = picks((t.as_py() or "").encode().lower().split(), least)
+                if len(at):
+                    _, first = np.unique(at, return_index=True)
+                    found, n = np.unique(mark[first], return_counts=True)
+                    of.append(np.full(len(found), i))
+                    marks.append(found), counts.append(n)
+            of = pa.array(np.concatenate(of) if of else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(marks)), pa.array(np.concatenate(counts))], ["id", "key", "mark", "n"])
+
+    return docs.select("id", "key", "text").mapInArrow(run, f"id {id_type}, key long, mark long, n long")
+
+
+def _windows(docs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """(id, key, at, digest): the windows (word number) whose pick is among their text's marks."""
+    id_type = docs.schema["id"].dataType.simpleString()
+    joined = _beside(docs.select("id", "key", "text"), marks, "inner").select("id", "key", "text", "marks")
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        from limen.llm.passages import picks
+
+        for b in batches:
+            for i in range(b.num_rows):
+                words = b.column(2)[i].as_py().encode().lower().split()
+                starts = np.flatnonzero(np.isin(picks(words, least)[1], b.column(3)[i].values.to_numpy()))
+                digests = [xxhash.xxh3_128_digest(b" ".join(words[s : s + least])) for s in starts.tolist()]
+                of = pa.array(np.full(len(starts), i))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], ["id", "key", "at", "digest"])
+
+    return joined.mapInArrow(run, f"id {id_type}, key long, at int, digest binary")
+
+
+def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    found = found.withColumnRenamed("id", "_id").withColumnRenamed("key", "_key")
+    return docs.join(found, docs["id"].eqNullSafe(found["_id"]) & (docs["key"] == found["_key"]), how)
+
+
+def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
+    """(id, key, spans): of each text that loses words, the (first, end) of word numbers, which may overlap."""
+    # rows that repeat an id and its text are one place, though their picks count anew: that only looks at more windows
+    marks = saved(_marks(docs, least), "passage-marks")
+    again = marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark")
+    of = marks.join(again, "mark", "left_semi").groupBy("id", "key").agg(F.collect_set("mark").alias("marks"))
+    rows = saved(_windows(docs, of, least), "passage-windows")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"), F.col("at"))
+    firsts = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    found = rows.join(firsts, "digest")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    begin = F.when(own, F.greatest(F.col("at"), F.col("first.at") + least)).otherwise(F.col("at"))
+    lost = found.where(~(own & (F.col("at") == F.col("first.at"))))
+    return lost.groupBy("id", "key").agg(F.collect_set(F.struct(begin.alias("first"), (F.col("at") + least).alias("end"))).alias("spans"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], int]:
+    """What is left of text without spans of word numbers; the characters of what went; the number of words."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept, shown, here = [], [], 0
+    for first, end in merged(spans):
+        if first:
+            kept.append(text[here : at[first - 1][1]])
+            here = at[end - 1][1]
+        else:
+            here = at[end][0] if end < len(at) else len(text)
+        shown.append((at[first][0], at[end - 1][1]))
+    return "".join([*kept, text[here:]]), shown, len(at)
+
+
+def _cut(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
+    ship(docs.sparkSession)
+    joined = _beside(docs, repeated_windows(docs.select("id", "key", "text"), least), "left").select("id", "text", F.col("spans.first").alias("firsts"), F.col("spans.end").alias("ends"), *carried)
+    types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in ("id", "text", *carried)) + ", n_words long, n_removed long, removed_spans string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        from limen.llm.passages import cut, merged
+
+        for b in batches:
+            texts, counts, gone, shown = [], [], [], []
+            for text, first, end in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                spans = merged(list(zip(first or (), end or ())))
+                left, chars, n = cut(text, spans) if text is not None else (None, [], 0)
+                texts.append(left), counts.append(n), gone.append(sum(e - s for s, e in spans))
+                shown.append(",".join(f"{s}-{e}" for s, e in chars))
+            new = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shown, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), new[0], *b.columns[4:], *new[1:]], ["id", "text", *carried, "n_words", "n_removed", "removed_spans"])
+
+    return joined.mapInArrow(run, schema)
+
+
+def repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col, n_words, n_removed (words), removed_spans ("start-end,..." in the original), text (what is left)."""
+    found = _cut(_keyed(df, id_col, text_col, []), least, [])
+    return found.select(F.col("id").alias(id_col), "n_words", "n_removed", "removed_spans", F.col("text").alias(text_col))
+
+
+def without_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with its texts cut, all columns and their order kept."""
+    carried = [c for c in df.columns if c not in (id_col, text_col)]
+    found = _cut(_keyed(df, id_col, text_col, carried), least, [f"c_{c}" for c in carried])
+    return found.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"c_{c}").alias(c) for c in df.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, sharding, substring, token_counts, topk, toxicity, unigram, warc
+from . import jaccard, packing, passages, sharding, substring, token_counts, topk, toxicity, unigram, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -78,7 +78,8 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM docume
 u AS (SELECT doc_id, unnest(generate_series(1, len(lines))) AS k, lines FROM d),
 v AS (SELECT doc_id, k, lines[k] AS line,
         1 + coalesce(cast(list_sum([length(x) + 1 for x in lines[1:k-1]]) AS BIGINT), 0) - 1 AS start,
-        trim(regexp_replace(translate(lines[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g')) AS norm FROM u),
+        trim(regexp_replace(translate(lines[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g')) AS norm FROM u),
 r AS (SELECT *, len(string_split(norm, ' ')) >= 8 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM v)
 SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
     coalesce(string_agg(concat(start, '-', start + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed_spans,
@@ -87,6 +88,12 @@ FROM r GROUP BY doc_id
 """
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 50 words or more that an earlier place has, within lines and over them; op9_substring_dedup is held to
+    its SQL, which knows whole lines only."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -102,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
+        "op9_passage_dedup": op9_passage_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

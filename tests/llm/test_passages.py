@@ -1,0 +1,77 @@
+"""Passages within and over lines, held against brute force."""
+
+import random
+import re
+
+import pytest
+
+pytest.importorskip("limen.llm")
+
+from limen.llm import passages  # noqa: E402
+
+LEAST = 12
+
+
+def text_of(rng, n):
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+
+def tables():
+    """Passages at other line breaks and in other case, whole copies, periodic text, short and null texts."""
+    rng = random.Random(4)
+    shared = [text_of(rng, n) for n in (LEAST - 1, LEAST, LEAST + 1, 30, 60)]
+    texts = [shared[4], None, "", " \n", "la " * 40, "la  LA\nla " * 9]
+    for i in range(40):
+        p = rng.choice(shared).split(" ")
+        p = "".join(w.upper() + rng.choice([" ", "\n", "\t ", "\n\n"]) if i % 3 else w + " " for w in p)
+        texts.append(rng.choice(["", text_of(rng, 9) + " "]) + p + rng.choice(["", text_of(rng, 20), "\x1cé " + p]))
+    return [(i, t, i % 4) for i, t in enumerate(texts + texts[6:9])]
+
+
+def brute(rows, least):
+    seen, out = {}, {}
+    for i, text, _ in rows:
+        at = [m.span() for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text or "")]
+        words = [(text[s:e]).encode().lower() for s, e in at]
+        gone = set()
+        for s in range(len(words) - least + 1):
+            first = seen.setdefault(tuple(words[s : s + least]), (i, s))
+            if first != (i, s):
+                gone |= set(range(max(s, first[1] + least) if first[0] == i else s, s + least))
+        out[i] = (words, gone)
+    return out
+
+
+def test_passages_anywhere_are_cut(spark):
+    rows = tables()
+    want = brute(rows, LEAST)
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int").repartition(3)
+    found = {r.doc_id: r for r in passages.repeated_passages(df, LEAST).collect()}
+    assert sorted(found) == sorted(want) and any(r.n_removed for r in found.values())
+    for i, text, _ in rows:
+        r, (words, gone) = found[i], want[i]
+        assert (r.n_words, r.n_removed) == (len(words), len(gone))
+        if text is None:
+            assert r.text is None
+            continue
+        assert r.text.encode().lower().split() == [w for k, w in enumerate(words) if k not in gone]
+        spans = [tuple(map(int, x.split("-"))) for x in r.removed_spans.split(",") if x]
+        assert b" ".join(text[s:e].encode().lower() for s, e in spans).split() == [words[k] for k in sorted(gone)]
+        assert gone or r.text == text
+    kept = passages.without_passages(df, LEAST)
+    assert kept.columns == df.columns and {(r.doc_id, r.text, r.spans) for r in kept.collect()} == {(i, found[i].text, s) for i, _, s in rows}
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    p = text_of(random.Random(1), 20)
+    rows = [(None, p), (5, f"x {p} y"), (5, f"x {p} y"), (7, f"z {p}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in passages.repeated_passages(df, LEAST).collect()) == [(0, ""), (5, f"x {p} y"), (5, f"x {p} y"), (7, "z")]
+    assert passages.repeated_passages(df.limit(0), LEAST).count() == 0
+
+
+def test_the_pipeline_cuts_passages_within_lines(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    p = text_of(random.Random(2), 55)
+    df = spark.createDataFrame([(1, f"one {p} two", 0), (2, f"three {p} four", 0)], "doc_id long, text string, n_chars long")
+    assert [(r.doc_id, r.text, r.n_chars) for r in pipeline.distinct_passages(spark, df, "").orderBy("doc_id").collect()] == [(1, f"one {p} two", len(p) + 8), (2, "three four", 10)]
