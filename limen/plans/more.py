@@ -133,19 +133,27 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
 
 @query()
 def lodo_logreg(spark, sf):
-    """Leave one group (language) out: fitted on the sums of the others, standardised on them, scored on it.
+    """Leave one group (language) out: fitted on a sample of the others, standardised on them; every labelled row of
+    the group is scored.
 
-    The sample that trains is bounded: 5,000 labelled rows by hash."""
+    The sample that trains is bounded: 5,000 labelled rows by hash. The weights have a row a group."""
     d = read(spark, sf, "documents").select("doc_id", "lang", F.ln(F.col("n_chars") + 1.0).alias("x0"), (F.regexp_count("text", F.lit("[*#$%&]")) / (F.col("n_chars") + 1.0)).alias("x1"))
-    rows = read(spark, sf, "labels").join(d, "doc_id").orderBy(F.xxhash64("doc_id")).limit(5000).select("doc_id", "lang", "quality", "x0", "x1").toPandas()
-    out = []
-    for lang in sorted(rows["lang"].unique()):
-        test = rows[rows["lang"] == lang]
-        train = rows[rows["lang"] != lang]
+    rows = read(spark, sf, "labels").join(d, "doc_id").select("doc_id", "lang", "quality", "x0", "x1")
+    return _left_out(rows, 5000)
+
+
+def _left_out(rows, most):
+    """(doc_id, lang, y, p) of each of rows; at most ``most`` of them train. p is null where the others have one class
+    only or a feature is null."""
+    sample = rows.dropna(subset=["quality", "x0", "x1"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    fits = []
+    for lang in [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]:
+        train = sample[(sample["lang"] != lang) if lang is not None else sample["lang"].notna()]
         if train["quality"].nunique() < 2:
             continue
         m, s = train[["x0", "x1"]].mean().to_numpy(), train[["x0", "x1"]].std().replace(0, 1).to_numpy()
         w = logistic((train[["x0", "x1"]].to_numpy() - m) / s, train["quality"].to_numpy(float))
-        p = 1 / (1 + np.exp(-(w[0] + (test[["x0", "x1"]].to_numpy() - m) / s @ w[1:])))
-        out += [(int(i), lang, int(y), round(float(q), 6)) for i, y, q in zip(test["doc_id"], test["quality"], p)]
-    return spark.createDataFrame(out, "doc_id long, lang string, y int, p double")
+        fits.append((lang, *map(float, (*w, *m, *s))))
+    table = rows.sparkSession.createDataFrame(fits, "_lang string, w0 double, w1 double, w2 double, m0 double, m1 double, s0 double, s1 double")
+    z = F.expr("w0 + w1 * ((x0 - m0) / s0) + w2 * ((x1 - m1) / s1)")
+    return rows.join(F.broadcast(table), F.col("lang").eqNullSafe(F.col("_lang")), "left").select("doc_id", "lang", F.col("quality").cast("int").alias("y"), F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
