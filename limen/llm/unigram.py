@@ -6,9 +6,9 @@ piece covers costs ``UNKNOWN`` below the worst score and becomes one byte piece
 is the marker U+2581: a space becomes one, one is put in front, and decoding turns markers to spaces and takes the
 first away.
 
-No piece but runs of markers holds a marker elsewhere than in front, and a run scores far below the single marker,
-so no best path has a piece across the start of a marker: texts are encoded word by word, and each worker keeps
-what it has encoded.
+No piece but runs of markers holds a marker elsewhere than in front, so no piece stands across the place between
+another character and a marker: texts are encoded in units of a run of markers and the word after it, and each worker
+keeps what it has encoded.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; U+2581 in a text is taken as a
 space (as the model's normaliser does), such a text decodes to spaces; equal rows give equal rows; a null id stays
@@ -17,6 +17,7 @@ null; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +31,8 @@ UNKNOWN = 10.0
 KEPT_WORDS = 700_000
 #: Longer words are encoded anew each time.
 LONG = 64
+#: A space and, as the group, the spaces and the word after it.
+_UNIT = re.compile(r" ( *[^ ]*)")
 
 _models: dict[str, "Unigram"] = {}
 
@@ -166,7 +169,8 @@ class Unigram:
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        words = text.replace(MARK, " ").split(" ")
+        spaced = " " + text.replace(MARK, " ")
+        words = _UNIT.findall(spaced) if "  " in spaced else spaced[1:].split(" ")
         found = list(map(kept.get, words))
         if None in found:
             for i, x in enumerate(found):
@@ -174,7 +178,7 @@ class Unigram:
                     w = words[i]
                     ids = kept.get(w)
                     if ids is None:
-                        ids = np.array(self.viterbi(MARK + w), "<u4").tobytes()
+                        ids = np.array(self.viterbi(MARK + w.replace(" ", MARK)), "<u4").tobytes()
                         if len(w) <= LONG:
                             kept[w] = ids
                     found[i] = ids
