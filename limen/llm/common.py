@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +22,26 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+_caches: dict[str, dict] = {}
+
+
+def own_caches(operator: str, cache: dict) -> dict:
+    """cache, after those of other operators are emptied: Python workers outlive a stage, and would keep them all."""
+    if operator not in _caches:
+        for other in _caches.values():
+            other.clear()
+        _caches.clear()
+        _caches[operator] = cache
+    return cache
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of tables that are written by now: Spark deletes them when its driver collects what
+    refers to them, which by itself may take until the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, passages, sharding, substring, token_counts, topk, toxicity, unigram, warc
+from . import jaccard, packing, sharding, substring, token_counts, topk, toxicity, unigram, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -70,30 +70,39 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=8)
+    return substring.repeated_units(table(spark, sf_dir, "documents"), unit="line", least=20, window=15)
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, unnest(generate_series(1, len(lines))) AS k, lines FROM d),
-v AS (SELECT doc_id, k, lines[k] AS line,
-        1 + coalesce(cast(list_sum([length(x) + 1 for x in lines[1:k-1]]) AS BIGINT), 0) - 1 AS start,
-        trim(regexp_replace(translate(lines[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+', ' ', 'g')) AS norm FROM u),
-r AS (SELECT *, len(string_split(norm, ' ')) >= 8 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone FROM v)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(concat(start, '-', start + length(line)), ',' ORDER BY k) FILTER (gone), '') AS removed_spans,
-    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id
+WITH d AS (SELECT doc_id, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT doc_id, text, low, regexp_extract_all(low, '[^\x20\x09-\x0D]+') AS words, regexp_extract_all(text, '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS pieces FROM d),
+k AS (SELECT doc_id, unnest(generate_series(1, len(words))) AS pos, unnest(words) AS word FROM w),
+h AS (SELECT doc_id, pos, CAST('0x' || substr(md5(word), 1, 6) AS BIGINT) AS h FROM k),
+r AS (SELECT doc_id, pos, (h + 48271 * lead(h, 1) OVER o + 182605794 * lead(h, 2) OVER o + 1291394886 * lead(h, 3) OVER o) % 2147483647 AS run FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT doc_id, min(run * 4194304 + pos) OVER o % 4194304 AS pick, count(*) OVER o AS n FROM r WHERE run IS NOT NULL
+    WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)),
+runs AS (SELECT doc_id, pick AS first, lead(pick) OVER (PARTITION BY doc_id ORDER BY pick) + 20 AS stop FROM (SELECT DISTINCT doc_id, pick FROM p WHERE n = 15)),
+l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(low, chr(10))))) AS k, unnest(string_split(low, chr(10))) AS line FROM w),
+c AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY k) + 1 AS stop, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+u AS (SELECT doc_id, first, stop FROM runs WHERE stop IS NOT NULL UNION SELECT doc_id, CAST(stop - n AS BIGINT), CAST(stop AS BIGINT) FROM c WHERE n >= 20),
+v AS (SELECT doc_id, first, stop, array_to_string(words[first:stop - 1], ' ') AS unit FROM u JOIN w USING (doc_id) WHERE stop <= len(words) + 1),
+f AS (SELECT *, first_value(doc_id) OVER o AS owner, first_value(first) OVER o AS place FROM v WINDOW o AS (PARTITION BY unit ORDER BY doc_id, first)),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(CASE WHEN owner = doc_id THEN greatest(first, place + stop - first) ELSE first END, stop - 1)) AS pos FROM f WHERE owner <> doc_id OR place <> first),
+-- the pieces of a text alternate between white space and words: word k is piece 2k or 2k - 1
+x AS (SELECT doc_id, unnest(generate_series(1, len(pieces))) AS j, unnest(pieces) AS piece, CASE WHEN regexp_matches(low, '^[\x20\x09-\x0D]') THEN 0 ELSE 1 END AS lead FROM w),
+y AS (SELECT doc_id, j, piece, (j + lead) % 2 = 0 AS is_word, (j + lead) // 2 AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY j) - length(piece) AS start FROM x),
+z AS (SELECT y.*, g.pos IS NOT NULL AS gone, CASE WHEN g.pos IS NULL THEN 0 ELSE y.word - row_number() OVER (PARTITION BY y.doc_id, g.pos IS NULL, is_word ORDER BY y.word) END AS island FROM y LEFT JOIN g ON y.doc_id = g.doc_id AND y.is_word AND y.word = g.pos),
+s AS (SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed_spans, CAST(sum(n) AS BIGINT) AS n_removed
+    FROM (SELECT doc_id, min(start) AS a, max(start + length(piece)) AS b, count(*) AS n FROM z WHERE is_word AND gone GROUP BY doc_id, island) GROUP BY doc_id),
+-- white space goes with a lost word behind it, pos the start of a text also with the lost words before it
+e AS (SELECT *, coalesce(lead(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS before_gone, coalesce(bool_and(gone OR NOT is_word) OVER (PARTITION BY doc_id ORDER BY j), false) AS all_gone,
+    bool_or(gone) OVER (PARTITION BY doc_id ORDER BY j) AS any_gone FROM z),
+t AS (SELECT doc_id, string_agg(piece, '' ORDER BY j) FILTER (NOT CASE WHEN is_word THEN gone ELSE before_gone OR (all_gone AND any_gone) END) AS left_over FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) > 0 AS repeats, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans, CASE WHEN text IS NULL THEN NULL ELSE coalesce(left_over, '') END AS text
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
-def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of 50 words or more that an earlier place has, within lines and over them; op9_substring_dedup is held to
-    its SQL, which knows whole lines only."""
-    return passages.repeated_passages(table(spark, sf_dir, "documents"), least=50)
-
-
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -109,7 +118,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
-        "op9_passage_dedup": op9_passage_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

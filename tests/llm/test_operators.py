@@ -257,34 +257,6 @@ def test_bit_sums_equal_inner_products():
         assert mine == sorted(((int(i), int(x)) for i, x in zip(ids, v @ q) if i != ids[0]), key=lambda x: (-x[1], x[0]))[:k]
 
 
-def test_substring(docs):
-    norm = lambda s: b" ".join(s.encode().lower().split())
-    seen, want = set(), {}
-    for i in sorted(TEXTS):
-        if TEXTS[i] is None:
-            want[i] = (0, "", None)
-            continue
-        spans, kept, at, lines = [], [], 0, TEXTS[i].split("\n")
-        for line in lines:
-            k = norm(line)
-            if len(k.split()) >= 8 and k in seen:
-                spans.append(f"{at}-{at + len(line)}")
-            else:
-                kept.append(line)
-            if len(k.split()) >= 8:
-                seen.add(k)
-            at += len(line) + 1
-        want[i] = (len(lines), ",".join(spans), "\n".join(kept))
-    assert {i: (r.n_units, r.removed_spans, r.text) for i, r in got(substring.repeated_units(docs)).items()} == want
-
-
-def test_paragraphs(spark):
-    p = "a paragraph of more than eight words stands here"
-    df = spark.createDataFrame([(1, f"{p}\n\nx"), (2, f"y\n \n{p}")], "doc_id long, text string")
-    found = got(substring.repeated_units(df, unit="paragraph"))
-    assert (found[1].n_removed, found[2].n_removed, found[2].text) == (0, 1, "y")
-
-
 def test_warc(spark):
     marker = "é WARC/1.1\r\n WARC/1.1\r\nWARC/1.1\r\n"
     data = [(1, "u", "x" * 200_000), (2, None, None), (3, "u", ""), (4, "a", marker), (5, "b", marker), (None, "n", "zz"), (7, "n", "zz"), (8, "q", None), (8, "q", None), (9, "\r\n", "\r\n\r\n")]
