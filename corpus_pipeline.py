@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limen.llm import exact_dedup, jaccard, packing, passages, substring, toxicity
+from limen.llm import exact_dedup, jaccard, packing, substring, toxicity
 from limen.llm.common import saved, table
 from limen.llm.queries import tokenizer_file
 
@@ -27,8 +27,8 @@ def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has, nor runs of 50 words in what is left; n_chars follows."""
-    cut = passages.without_passages(saved(substring.without_repeats(docs, unit="line", min_words=8), "lines"), least=50)
+    """Documents without lines of 20 words or passages of 50 that an earlier one has; n_chars follows the text."""
+    cut = substring.without_repeats(docs, unit="line", least=20, window=15)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
