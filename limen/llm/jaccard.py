@@ -1,20 +1,22 @@
 """Documents linked by the Jaccard similarity of their word n-grams, by a token-group matrix.
 
-Nodes are distinct sets of shingles (copies are one node). Two nodes can link only if their prefixes, in one order
-of all tokens, share a token; the order puts the most frequent tokens last (a bounded list; it makes prefixes
-rare and does not change what links). So the matrix has a row (token, node) for prefix tokens only.
-
-1. Leaders: each token's nodes are compared with one leader, not with each other: links are linear in the matrix.
-   Prefixes alone exclude most of these pairs; sets are made for the others only.
-   The nodes linked so far form components, the similar parts of the partition.
-2. While a token's nodes lie in several components, further leaders follow, for a few rounds.
-3. What is left is decided by groups: each component is cut into groups of some ``GROUP`` nodes, which store the
-   union of their members' prefix tokens. A node whose overlap with a group's union, with all that the node has
-   beyond, stays below three quarters of its own size can link to no member, and the group stays closed; groups
-   that qualify are opened, and the node is compared with their members.
-
-Every pair of nodes that shares a prefix token is so compared, excluded by a bound, or connected already; no link
-between components is lost. Components come from contracting the links.
+Nodes are distinct sets of shingles (copies are one node). A node's tokens in the matrix are ``bands_for(percent)``
+hashes, each of three minima of its shingles under hash functions of their own; two nodes at the limit of 0.75 share
+none of the 50 with a chance of 1.3e-12, at 0.8 of 3e-16: far rarer, pair by pair, than the links that any larger corpus
+holds, and what they share grows with similarity, not with a common line or passage. So each node has the same number
+of rows (token, node), whatever its length, and no list of frequent tokens is needed.
+
+1. Partition: each node votes for the leader that its tokens name most (a token names its node of highest score, the
+   sum of what its tokens have in common with others), is compared with that one alone, and joins it if they link. A
+   few rounds, over the tokens whose nodes still lie in several groups; links stay linear in the nodes.
+2. Matrix: groups are cut into parts of some ``GROUP`` nodes; each stores the union of its members' shingles, and has a
+   row for each token that members hold. A node asks the parts of other groups that share a token with it; its overlap
+   with a part's union bounds what it can share with any member, and a part stays closed whose bound is below what a
+   link needs. Unions are kept in 16 bits a shingle (32 for long texts): that only raises bounds.
+3. Parts that qualify are opened: the node is compared with their members, by the same short forms first, then exactly.
+
+Every pair of nodes that share a token is so in one group, excluded by a bound, or compared. Components come from
+contracting the links.
 
 Shingles are 64-bit hashes of their words and nodes 64-bit hashes of their sets; two different ones are taken as
 equal with a chance of 2**-64 a pair.
@@ -27,24 +29,26 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import remove, saved, ship, work_dir
+from .common import own_caches, release, remove, saved, ship, work_dir
 
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Tokens of the list that goes last at most, the different sets of one Arrow batch that must share such a token
-#: to count, and how many must in all. The list bears on speed only.
-FREQUENT = 1 << 20
-FREQUENT_LOCAL = 3
-FREQUENT_TOTAL = 8
+#: Minima in a token, and how likely a pair at the limit may share no token.
+MINIMA, MISS = 3, 1.5e-12
 GROUP = 32
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
+#: Tokens that a node and its leader share for a comparison in the partition; pairs below are left to the matrix.
+LEAST_VOTES = 5
 KEPT_WORDS = 400_000
 FILTER_BITS = 1 << 24
+#: Sets up to this size are shortened to 16 bits a shingle, larger ones to 32.
+SHORT = 4096
 
 _hashes: dict[bytes, int] = {}
 
@@ -63,7 +67,7 @@ def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    known = _hashes
+    known = own_caches("jaccard", _hashes)
     if len(known) > KEPT_WORDS:
         known.clear()
     for w in set(words).difference(known):
@@ -99,146 +103,102 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(tokens of the prefix, which of them are frequent, share of frequent tokens in the set of 255)."""
-    at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-    often = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-    k = len(tokens) - int(least_shared(len(tokens), percent)) + 1
-    picked = np.argsort(often, kind="stable")[:k]
-    return tokens[picked], often[picked], int(255 * often.sum() // max(1, len(tokens)))
+def bands_for(percent: int) -> int:
+    """Tokens of a node: as many as leave a pair at the limit without a common one with a chance of MISS."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** MINIMA))))
 
 
-def _sets(docs: DataFrame, n: int, frequent: bool) -> DataFrame:
-    """(id, n, node, token, times): a row per document, and rows without id for tokens frequent within a batch."""
-    id_type = docs.schema["id"].dataType.simpleString()
+def bands(tokens: np.ndarray, many: int) -> np.ndarray:
+    """The matrix tokens of a set: ``many`` hashes of MINIMA minima each."""
+    by = _mixed(np.arange(1, many * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+    low = np.full(len(by), np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(tokens), 128):
+            np.minimum(low, (tokens[None, at : at + 128] * by[:, None]).min(axis=1), out=low)
+        out = np.arange(many, dtype=np.uint64)
+        for part in low.reshape(many, MINIMA).T:
+            out = _mixed(out + part)
+    return out.view(np.int64)
 
-    def run(batches):
-        import pyarrow as pa
 
-        from limen.llm.jaccard import FREQUENT_LOCAL, node_of, shingles
+def shortened(tokens: np.ndarray, wide: bool) -> np.ndarray:
+    """The distinct short forms of a set's shingles."""
+    return np.unique(tokens.astype(np.uint32 if wide else np.uint16))
 
-        for b in batches:
-            sets = [shingles(t.as_py(), n) for t in b.column(1)]
-            sizes = [len(s) for s in sets]
-            nodes = [node_of(s) for s in sets]
-            once = list({k: s for k, s in zip(nodes, sets)}.values())
-            u, c = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
-            u, c = u[c >= FREQUENT_LOCAL], c[c >= FREQUENT_LOCAL]
-            m = len(u)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0), pa.nulls(m, b.column(0).type)]),
-                    pa.array(sizes + [None] * m, pa.int64()),
-                    pa.array(nodes + [None] * m, pa.int64()),
-                    pa.array(np.concatenate([np.zeros(len(sets), np.int64), u.view(np.int64)]), mask=np.arange(len(sets) + m) < len(sets)),
-                    pa.array([None] * len(sets) + c.tolist(), pa.int64()),
-                ],
-                ["id", "n", "node", "token", "times"],
-            )
-
-    return docs.mapInArrow(run, f"id {id_type}, n long, node long, token long, times long")
-
-
-def _matrix(docs: DataFrame, n: int, frequent, percent: int) -> DataFrame:
-    """(node, n, score, rare, tokens): the prefix of each document's set, the first ``rare`` tokens not frequent."""
+
+def overlap_bound(tokens: np.ndarray, short: np.ndarray) -> int:
+    """At least as many of tokens as are in the set that short was made of."""
+    own = tokens.astype(short.dtype)
+    return int((short[np.minimum(np.searchsorted(short, own), len(short) - 1)] == own).sum()) if len(short) else 0
+
+
+def _sets(docs: DataFrame, n: int, many: int) -> DataFrame:
+    """(id, n, node, bands): a row per document; bands is null for sets so small that only equal ones link."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import node_of, prefix, shingles
+        from limen.llm.jaccard import bands, node_of, shingles
 
-        late = frequent.value
         for b in batches:
-            out = {}
+            sizes, nodes, tokens = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), n)
-                if len(s) and (k := node_of(s)) not in out:
-                    p, often, share = prefix(s, late, percent)
-                    out[k] = (len(s), share, int((~often).sum()), p.view(np.int64))
-            kinds = (pa.int32(), pa.int16(), pa.int32(), pa.list_(pa.int64()))
-            cols = list(zip(*out.values())) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["node", "n", "score", "rare", "tokens"])
-
-    return docs.mapInArrow(run, "node long, n int, score short, rare int, tokens array<bigint>")
-
-
-def _chief() -> Column:
-    """Of a token's rows, the one that leads: the most of its set is frequent tokens, as in a text that others vary."""
-    return F.max(F.struct("score", "node", "n"))
-
-
-def _shared_tokens(matrix: DataFrame) -> DataFrame:
-    """The rows of tokens that several nodes have, with the token's leader: token, node, n, score, chief.
-
-    Tokens outside the list of frequent ones are held by few documents, and a window over them is enough; those of
-    the list may be held by any number: they are aggregated first and joined, which splits skewed tokens."""
-    each = matrix.select("node", "n", "score", "rare", F.posexplode("tokens").alias("at", "token"))
-    rare = each.where("at < rare").select("token", "node", "n", "score", "at")
-    by = Window.partitionBy("token")
-    some = rare.withColumn("chief", _chief().over(by)).withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo < hi").drop("lo", "hi")
-    often = each.where("at >= rare").select("token", "node", "n", "score", "at").distinct()
-    chiefs = often.groupBy("token").agg(_chief().alias("chief"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return some.unionByName(often.join(chiefs, "token").select(*some.columns))
-
-
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of a leader and another node that sizes allow to link."""
-    near = rows.where(f"node <> chief.node AND {percent} * greatest(n, chief.n) <= 100 * least(n, chief.n)")
-    return near.select(F.col("chief.node").alias("a"), F.col("node").alias("b")).distinct()
+                sizes.append(len(s)), nodes.append(node_of(s))
+                tokens.append(bands(s, many) if len(s) > 2 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "node", "bands"])
 
+    return docs.mapInArrow(run, f"id {id_type}, n long, node long, bands array<bigint>")
 
-def may_link(a: np.ndarray, rare_a: int, n_a: int, b: np.ndarray, rare_b: int, n_b: int, percent: int = PERCENT) -> bool:
-    """Whether two sets can link by what their prefixes share. Up to the end of the prefix that ends first both are
-    known; behind it they share at most what is left of the smaller rest."""
-    if not len(a) or not len(b):
-        return False
-
-    def upto(x, rare_x, y, rare_y):
-        # tokens of prefix x up to the last of prefix y, in the common order
-        last = y[-1]
-        return np.searchsorted(x[:rare_x], last, "right") if len(y) == rare_y else rare_x + np.searchsorted(x[rare_x:], last, "right")
-
-    in_a, in_b = upto(a, rare_a, b, rare_b), upto(b, rare_b, a, rare_a)
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    both = len(np.intersect1d(short, long_, assume_unique=True))
-    top = both + min(n_a - in_a, n_b - in_b)
-    return 100 * top >= percent * (n_a + n_b - top)
 
-
-def _possible(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """(a, b, open) of pairs: whether their prefixes leave a link possible."""
+def _node_sets(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(node, n, tokens, short) of the nodes in reps (node, id), each from one document that has it."""
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import may_link
+        from limen.llm.jaccard import SHORT, node_of, shingles, shortened
 
-        read = lambda t: t.values.to_numpy().view(np.uint64)
-        for c in batches:
-            sizes = [c.column(i).to_pylist() for i in (2, 3, 5, 6)]
-            found = [may_link(read(x), rx, nx, read(y), ry, ny, percent) for nx, rx, ny, ry, x, y in zip(*sizes, c.column(4), c.column(7))]
-            yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(found, pa.bool_())], ["a", "b", "open"])
+        for b in batches:
+            sets = {node_of(s): s for s in (shingles(t.as_py(), n) for t in b.column(0)) if len(s)}
+            cols = [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([s.tobytes() for s in sets.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([shortened(s, len(s) > SHORT).tobytes() for s in sets.values()], pa.binary())], ["node", "n", "tokens", "short"])
 
-    side = lambda k: matrix.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "rare", "tokens")])
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "rare_a", "tokens_a", "n_b", "rare_b", "tokens_b")
-    return both.mapInArrow(run, "a long, b long, open boolean")
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    # a filter of fixed size keeps most other texts out of the shuffle
+    bits = saved(reps.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
+    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.expr("bitmap_bucket_number(_at) = bucket"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    passing = marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select("id", "text")
+    texts = passing.join(reps.select("id"), passing["id"].eqNullSafe(reps["id"]), "left_semi")
+    # an id may repeat with several texts: only sets that are wanted stay, each once
+    return texts.select("text").mapInArrow(run, "node long, n int, tokens binary, short binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, link) of pairs."""
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(a, b) of the pairs that may link by b's short form, or that do link."""
+    kind = "tokens" if exact else "short"
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import linked
+        from limen.llm.jaccard import SHORT, least_shared, linked, overlap_bound
 
-        for b in batches:
-            found = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.bool_())], ["a", "b", "link"])
+        for c in batches:
+            found = []
+            for x, y, n in zip(c.column(2), c.column(3), c.column(4).to_pylist()):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                if exact:
+                    found.append(linked(x, np.frombuffer(y.as_py(), np.uint64), percent))
+                else:
+                    top = min(n, overlap_bound(x, np.frombuffer(y.as_py(), np.uint32 if n > SHORT else np.uint16)))
+                    found.append(100 * top >= percent * (len(x) + n - top))
+            yield pa.RecordBatch.from_arrays(c.columns[:2], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, link boolean")
+    right = sets.select(F.col("node").alias("b"), F.col(kind).alias("y"), F.col("n").alias("m"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "m").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,9 +219,42 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def _groups(parted: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(comp, part, all, late, last): of each group the union of its members' prefixes, and the prefix end that
-    comes first among them (whether it is a frequent token, and the token)."""
+def _shared(sets: DataFrame) -> DataFrame:
+    """(token, node, score) of the tokens that several nodes have. Tokens are aggregated and written before rows are
+    joined to them, which splits skewed ones; a node's score is what its tokens' holders add up to."""
+    rows = sets.where("bands IS NOT NULL").select("node", F.explode("bands").alias("token"))
+    tokens = saved(rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "tokens")
+    release(sets.sparkSession)
+    some = saved(rows.join(tokens, "token").select("token", "node").distinct(), "some")
+    release(sets.sparkSession)
+    held = saved(some.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "held")
+    score = saved(some.join(held, "token").groupBy("node").agg(F.sum("c").alias("score")), "score")
+    return saved(some.join(score, "node"), "shared")
+
+
+def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Rows of tokens whose nodes lie in several components."""
+    rows = saved(rows, "with-comp")
+    open_tokens = saved(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "open")
+    return saved(rows.join(open_tokens, "token"), "left")
+
+
+def _leader_pairs(left: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(a, b): for each node b of left the leader a, of another component, that most of its tokens name."""
+    chiefs = saved(left.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("chief")), "chiefs")
+    named = left.join(chiefs, "token").where("comp <> chief.comp").select(F.col("chief.node").alias("a"), F.col("node").alias("b"), F.col("chief.score").alias("of"))
+    votes = named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v"), F.max("of").alias("of")).where(F.col("v") >= LEAST_VOTES)
+    if tried is not None:
+        votes = votes.join(tried, ["a", "b"], "left_anti")
+    return saved(votes.groupBy("b").agg(F.max(F.struct("v", "of", "a")).alias("best")).select("best.a", "b"), "pairs")
+
+
+def _unions(parted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(comp, part, wide, all): of each part the union of its members' shingles, in short."""
 
     def run(batches):
         import pyarrow as pa
@@ -269,50 +262,47 @@ def _groups(parted: DataFrame, prefixes: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for members in b.column(2):
-                sets = [(int(m["rare"].as_py()), m["tokens"].values.to_numpy().view(np.uint64)) for m in members.values]
-                late, last = min((int(rare < len(t)), int(t[-1])) for rare, t in sets)
-                out.append((np.unique(np.concatenate([t for _, t in sets])).tobytes(), late, last.to_bytes(8, "little")))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["comp", "part", "all", "late", "last"])
+                each = [np.frombuffer(m, np.uint64) for m in members.as_py()]
+                wide = sum(map(len, each)) > SHORT
+                out.append((wide, shortened(np.concatenate(each), wide).tobytes()))
+            wide, union = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.bool_()), pa.array(union, pa.binary())], ["comp", "part", "wide", "all"])
 
-    nodes = parted.select("comp", "part", "node").distinct().join(prefixes, "node")
-    grouped = nodes.groupBy("comp", "part").agg(F.collect_list(F.struct("rare", "tokens")).alias("members"))
-    return grouped.mapInArrow(run, "comp long, part int, all binary, late int, last binary")
+    nodes = parted.select("comp", "part", "node").distinct().join(sets.select("node", "tokens"), "node")
+    return nodes.groupBy("comp", "part").agg(F.collect_list("tokens").alias("members")).mapInArrow(run, "comp long, part int, wide boolean, all binary")
 
 
-def _qualifying(asked: DataFrame, prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The rows (node, comp, part) of asked whose group may hold a set that links: what the node shares with the
-    group's union up to the first prefix end, and all the node has behind that, reach what a link needs."""
+def _qualifying(asked: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+    """The rows (node, comp, part) of asked whose part may hold a set that links: what the node shares with the union
+    reaches what it must share with any set."""
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import least_shared
-
         for b in batches:
             keep = []
-            for n, rare, tokens, union, late, last in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), b.column(6), b.column(7).to_pylist(), b.column(8)):
-                t = tokens.values.to_numpy().view(np.uint64)
-                union = np.frombuffer(union.as_py(), np.uint64)
-                end = np.uint64(int.from_bytes(last.as_py(), "little"))
-                known = np.concatenate([t[:rare], t[rare:][t[rare:] <= end]]) if late else t[:rare][t[:rare] <= end]
-                at = np.minimum(np.searchsorted(union, known), len(union) - 1)
-                keep.append(int((union[at] == known).sum()) + n - len(known) >= least_shared(n, percent))
+            for tokens, wide, union in zip(b.column(3), b.column(4).to_pylist(), b.column(5)):
+                t = np.frombuffer(tokens.as_py(), np.uint64)
+                keep.append(overlap_bound(t, np.frombuffer(union.as_py(), np.uint32 if wide else np.uint16)) >= least_shared(len(t), percent))
             yield pa.RecordBatch.from_arrays(b.columns[:3], b.schema.names[:3]).filter(pa.array(keep, pa.bool_()))
 
-    own = asked.join(prefixes.select("node", "n", "rare", "tokens"), "node")
-    both = own.join(groups, ["comp", "part"]).select("node", "comp", "part", "n", "rare", "tokens", "all", "late", "last")
-    return both.mapInArrow(run, "node long, comp long, part int")
+    both = asked.join(unions, ["comp", "part"]).join(sets.select("node", "tokens"), "node")
+    return both.select("node", "comp", "part", "tokens", "wide", "all").mapInArrow(run, "node long, comp long, part int")
 
 
-def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    return rows.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """Rows of tokens whose nodes lie in several components."""
-    open_tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return rows.join(open_tokens, "token")
+def _matrix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes and the members of the parts that they open."""
+    sizes = saved(left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    parted = left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int"))
+    parted = saved(parted.select("token", "node", "comp", "part", "m"), "parted")
+    matrix = saved(parted.groupBy("token", "comp", "part").agg(F.max("m").alias("gm")).select("token", F.col("comp").alias("gc"), F.col("part").alias("gp"), "gm"), "matrix")
+    # of two groups the smaller asks
+    met = parted.select("token", "node", "comp", "m").join(matrix, "token").where("struct(m, comp) < struct(gm, gc)")
+    asked = saved(met.select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct(), "asked")
+    unions = saved(_unions(parted, sets), "unions")
+    opened = saved(_qualifying(asked, sets, unions, percent), "opened")
+    members = parted.select("comp", "part", F.col("node").alias("b")).distinct()
+    return opened.withColumnRenamed("node", "a").join(members, ["comp", "part"]).select("a", "b").distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -321,102 +311,48 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
-    first = saved(_sets(rows, n, True), "sets")
-    whole = first.where("times IS NULL").select("id", "n", "node")
-    often = first.where("times IS NOT NULL").groupBy("token").agg(F.sum("times").alias("t")).where(F.col("t") >= FREQUENT_TOTAL)
-    late = often.orderBy(F.col("t").desc(), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
-
-    path = work_dir(spark, "matrix")
-    matrix = saved(_matrix(rows, n, frequent, percent), "matrix", path)
-    shared = saved(_shared_tokens(matrix), "shared")
-    prefixes = matrix.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    prefixes = saved(prefixes, "prefixes")
+    path = work_dir(spark, "sets")
+    first = saved(_sets(rows, n, bands_for(percent)), "sets", path)
+    shared = _shared(first)
+    whole = saved(first.select("id", "n", "node"), "whole")
     remove(spark, path)
-    nodes = whole.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, link) of all pairs: by their prefixes first, then by their sets."""
-        tried = saved(_possible(pairs, prefixes, percent), "possible")
-        left_open = tried.where("open").select("a", "b")
-        wanted = left_open.select(F.col("a").alias("node")).unionByName(left_open.select(F.col("b").alias("node"))).distinct()
-        done = _compared(left_open, _node_sets(rows, nodes, wanted, n), percent)
-        return saved(done.unionByName(tried.where("not open").select("a", "b", F.col("open").alias("link"))), "compared")
-
-    led = verified(_pairs(shared, percent))
-    links = led.where("link").select("a", "b")
-    left = shared.where("node <> chief.node").drop("chief")
-    comp = components(links)
-    for turn in range(LEADER_ROUNDS + 1):
-        left = saved(_unsettled(_with_comp(left, comp)), "left")
-        work = left.groupBy("token").agg((F.count(F.lit(1)) * (F.countDistinct("comp") - 1)).alias("w"), F.count(F.lit(1)).alias("rows")).agg(F.sum("w"), F.sum("rows")).first()
-        if not work[0] or work[0] <= 8 * work[1] or turn == LEADER_ROUNDS:
+    nodes = saved(whole.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
+    reps = saved(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("id")), "reps")
+    sets = saved(_node_sets(rows, reps, n), "node-sets")
+    release(spark)
+
+    comp, links, tried, left = None, None, None, shared.withColumn("comp", F.col("node"))
+    for _ in range(LEADER_ROUNDS):
+        pairs = _leader_pairs(left, tried)
+        found = saved(_tested(pairs, sets, percent, True), "found")
+        release(spark)
+        if found.isEmpty():
             break
-        chiefs = left.groupBy("token").agg(F.max(F.struct("score", "node", "n", "comp")).alias("chief"))
-        again = left.join(chiefs, "token")
-        turned = led.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        pairs = _pairs(again.where("comp <> chief.comp"), percent).join(led.select("a", "b").unionByName(turned), ["a", "b"], "left_anti")
-        found = verified(pairs)
-        led = led.unionByName(found)
-        links = links.unionByName(found.where("link").select("a", "b"))
-        left = again.where("node <> chief.node").drop("chief")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        comp = components(links)
+        left = _unsettled(_with_comp(shared, comp))
+    possible = saved(_tested(_matrix_pairs(left, sets, percent), sets, percent, False), "possible")
+    found = saved(_tested(possible, sets, percent, True), "found")
+    release(spark)
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
         comp = components(links)
 
-    if not left.isEmpty():
-        sizes = left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-        parted = saved(left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int")).select("token", "node", "n", "at", "comp", "part", "m"), "parted")
-        held = parted.groupBy("token", "comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("m").alias("m")).withColumnRenamed("comp", "gc").withColumnRenamed("part", "gp")
-        met = (
-            parted.drop("m", "part").join(held, "token")
-            .where(f"comp > gc AND 100 * hi >= {percent} * n AND {percent} * lo <= 100 * n")
-            .groupBy("node", F.col("gc").alias("comp"), F.col("gp").alias("part"))
-            .agg(F.count(F.lit(1)).alias("both"), F.max("at").alias("at"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("m").alias("m"))
-            .withColumn("top", F.col("both") + F.col("n") - F.col("at") - 1)
-        )
-        # for a single node: all that the two share up to the last shared token is counted, behind it is the rest
-        asked = met.where(f"m > 1 OR 100 * top >= {percent} * (n + lo - top)").select("node", "comp", "part")
-        groups = saved(_groups(parted, prefixes), "groups")
-        opened = _qualifying(asked, prefixes, groups, percent).withColumnRenamed("node", "a")
-        members = parted.select("comp", "part", F.col("node").alias("b")).distinct()
-        found = verified(opened.join(members, ["comp", "part"]).select("a", "b").distinct()).where("link")
-        if not found.isEmpty():
-            comp = components(links.unionByName(found.select("a", "b")))
-
-    named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "comp").select("node", "component_id")
+    named = nodes.withColumn("comp", F.col("node")) if comp is None else _with_comp(nodes, comp)
+    named = saved(named, "named")
+    least = saved(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    of = saved(named.join(least, "comp").select("node", "component_id"), "of")
     found = whole.where("node IS NOT NULL").join(of, "node").select("id", "n", "component_id")
     alone = whole.where("node IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _node_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, each from one document that has it."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        from limen.llm.jaccard import node_of, shingles
-
-        for b in batches:
-            sets = [shingles(t.as_py(), n) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
-
-    reps = saved(nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id")), "reps")
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    # a filter of fixed size keeps most other texts out of the shuffle
-    bits = saved(reps.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
-    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.expr("bitmap_bucket_number(_at) = bucket"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    passing = marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select("id", "text")
-    texts = passing.join(reps.select("id"), passing["id"].eqNullSafe(reps["id"]), "left_semi")
-    # an id may repeat with several texts: only sets that are wanted stay, each once
-    return texts.select("text").mapInArrow(run, "node long, tokens binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that have the smallest id of their component, all columns. Ids are taken as unique: rows
     that repeat an id go if one of them does."""
     found = similar_sets(docs, id_col, text_col, n, percent)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    own = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = found.where(~own).select(F.col(id_col)).distinct().select(F.struct(F.col(id_col).alias("id")).alias("key"))
+    # compared as structs: no name of docs can clash, and null ids compare as well
+    return docs.join(gone, F.struct(docs[id_col].alias("id")) == gone["key"], "left_anti")
