@@ -9,11 +9,12 @@ of rows (token, node), whatever its length, and no list of frequent tokens is ne
 1. Partition: each node votes for the leader that its tokens name most (a token names its node of highest score, the
    sum of what its tokens have in common with others), is compared with that one alone, and joins it if they link. A
    few rounds, over the tokens whose nodes still lie in several groups; links stay linear in the nodes.
-2. Matrix: groups are cut into parts of some ``GROUP`` nodes; each stores the union of its members' shingles, and has a
-   row for each token that members hold. A node asks the parts of other groups that share a token with it; its overlap
-   with a part's union bounds what it can share with any member, and a part stays closed whose bound is below what a
-   link needs. Unions are kept in 16 bits a shingle (32 for long texts): that only raises bounds.
-3. Parts that qualify are opened: the node is compared with their members, by the same short forms first, then exactly.
+2. Matrix: groups are cut into parts of some ``GROUP`` nodes, with a row for each token that members hold. A node asks
+   the parts of other groups that share a token with it, of two groups the smaller one asks. A part stores the union of
+   its members' shingles, and which members have each; a node's overlap with the union bounds what it can share with
+   any member, and the part stays closed to a node whose bound is below what a link needs.
+3. Parts that qualify are opened: a node's shingles that are in the union are counted for each member, which decides.
+   Nodes come to a part as a stream, those of a part that very many ask in several tasks.
 
 Every pair of nodes that share a token is so in one group, excluded by a bound, or compared. Components come from
 contracting the links.
@@ -41,14 +42,14 @@ from .common import own_caches, release, remove, saved, ship, work_dir
 PERCENT = 75
 #: Minima in a token, and how likely a pair at the limit may share no token.
 MINIMA, MISS = 3, 1.5e-12
-GROUP = 32
+GROUP = 256
+#: Nodes that ask one task for one part, about; cells (shingle, member) of a block of a part.
+ASKS, CELLS = 2048, 1 << 24
 LEADER_ROUNDS = 3
 #: Tokens that a node and its leader share for a comparison in the partition; pairs below are left to the matrix.
 LEAST_VOTES = 5
 KEPT_WORDS = 400_000
 FILTER_BITS = 1 << 24
-#: Sets up to this size are shortened to 16 bits a shingle, larger ones to 32.
-SHORT = 4096
 
 _hashes: dict[bytes, int] = {}
 
@@ -121,17 +122,6 @@ def bands(tokens: np.ndarray, many: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shortened(tokens: np.ndarray, wide: bool) -> np.ndarray:
-    """The distinct short forms of a set's shingles."""
-    return np.unique(tokens.astype(np.uint32 if wide else np.uint16))
-
-
-def overlap_bound(tokens: np.ndarray, short: np.ndarray) -> int:
-    """At least as many of tokens as are in the set that short was made of."""
-    own = tokens.astype(short.dtype)
-    return int((short[np.minimum(np.searchsorted(short, own), len(short) - 1)] == own).sum()) if len(short) else 0
-
-
 def _sets(docs: DataFrame, n: int, many: int) -> DataFrame:
     """(id, n, node, bands): a row per document; bands is null for sets so small that only equal ones link."""
     id_type = docs.schema["id"].dataType.simpleString()
@@ -153,17 +143,16 @@ def _sets(docs: DataFrame, n: int, many: int) -> DataFrame:
 
 
 def _node_sets(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(node, n, tokens, short) of the nodes in reps (node, id), each from one document that has it."""
+    """(node, tokens) of the nodes in reps (node, id), each from one document that has it."""
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import SHORT, node_of, shingles, shortened
+        from limen.llm.jaccard import node_of, shingles
 
         for b in batches:
             sets = {node_of(s): s for s in (shingles(t.as_py(), n) for t in b.column(0)) if len(s)}
-            cols = [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([s.tobytes() for s in sets.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([shortened(s, len(s) > SHORT).tobytes() for s in sets.values()], pa.binary())], ["node", "n", "tokens", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["node", "tokens"])
 
     at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # a filter of fixed size keeps most other texts out of the shuffle
@@ -173,32 +162,24 @@ def _node_sets(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     passing = marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select("id", "text")
     texts = passing.join(reps.select("id"), passing["id"].eqNullSafe(reps["id"]), "left_semi")
     # an id may repeat with several texts: only sets that are wanted stay, each once
-    return texts.select("text").mapInArrow(run, "node long, n int, tokens binary, short binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.select("text").mapInArrow(run, "node long, tokens binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """(a, b) of the pairs that may link by b's short form, or that do link."""
-    kind = "tokens" if exact else "short"
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that link."""
 
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.jaccard import SHORT, least_shared, linked, overlap_bound
+        from limen.llm.jaccard import linked
 
         for c in batches:
-            found = []
-            for x, y, n in zip(c.column(2), c.column(3), c.column(4).to_pylist()):
-                x = np.frombuffer(x.as_py(), np.uint64)
-                if exact:
-                    found.append(linked(x, np.frombuffer(y.as_py(), np.uint64), percent))
-                else:
-                    top = min(n, overlap_bound(x, np.frombuffer(y.as_py(), np.uint32 if n > SHORT else np.uint16)))
-                    found.append(100 * top >= percent * (len(x) + n - top))
+            found = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(c.column(2), c.column(3))]
             yield pa.RecordBatch.from_arrays(c.columns[:2], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col(kind).alias("y"), F.col("n").alias("m"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "m").mapInArrow(run, "a long, b long")
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,56 +234,71 @@ def _leader_pairs(left: DataFrame, tried: DataFrame | None) -> DataFrame:
     return saved(votes.groupBy("b").agg(F.max(F.struct("v", "of", "a")).alias("best")).select("best.a", "b"), "pairs")
 
 
-def _unions(parted: DataFrame, sets: DataFrame) -> DataFrame:
-    """(comp, part, wide, all): of each part the union of its members' shingles, in short."""
+class Part:
+    """Members of a part of a group: the union of their shingles, in blocks of some CELLS cells, and who has which."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]]):
+        self.blocks, own, size = [], [], 0
+        for node, tokens in [*members, (None, None)]:
+            if own and (node is None or (size + len(tokens)) * (len(own) + 1) > CELLS):
+                sizes = np.array([len(t) for _, t in own])
+                union, place = np.unique(np.concatenate([t for _, t in own]), return_inverse=True)
+                has = np.zeros((len(union), len(own)), bool)
+                has[place, np.repeat(np.arange(len(own)), sizes)] = True
+                self.blocks.append((np.array([k for k, _ in own]), sizes, union, has))
+                own, size = [], 0
+            if node is not None:
+                own.append((node, tokens))
+                size += len(tokens)
+
+    def links(self, tokens: np.ndarray, percent: int) -> list[int]:
+        """The members that link to a set."""
+        out: list[int] = []
+        for nodes, sizes, union, has in self.blocks:
+            at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+            at = at[union[at] == tokens]
+            if len(at) >= least_shared(len(tokens), percent):  # else closed
+                both = has[at].sum(axis=0)
+                out += nodes[100 * both >= percent * (len(tokens) + sizes - both)].tolist()
+        return out
+
+
+def _matrix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes and the members that they link to of the parts that they open."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for members in b.column(2):
-                each = [np.frombuffer(m, np.uint64) for m in members.as_py()]
-                wide = sum(map(len, each)) > SHORT
-                out.append((wide, shortened(np.concatenate(each), wide).tobytes()))
-            wide, union = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.bool_()), pa.array(union, pa.binary())], ["comp", "part", "wide", "all"])
-
-    nodes = parted.select("comp", "part", "node").distinct().join(sets.select("node", "tokens"), "node")
-    return nodes.groupBy("comp", "part").agg(F.collect_list("tokens").alias("members")).mapInArrow(run, "comp long, part int, wide boolean, all binary")
-
-
-def _qualifying(asked: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
-    """The rows (node, comp, part) of asked whose part may hold a set that links: what the node shares with the union
-    reaches what it must share with any set."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            keep = []
-            for tokens, wide, union in zip(b.column(3), b.column(4).to_pylist(), b.column(5)):
-                t = np.frombuffer(tokens.as_py(), np.uint64)
-                keep.append(overlap_bound(t, np.frombuffer(union.as_py(), np.uint32 if wide else np.uint16)) >= least_shared(len(t), percent))
-            yield pa.RecordBatch.from_arrays(b.columns[:3], b.schema.names[:3]).filter(pa.array(keep, pa.bool_()))
-
-    both = asked.join(unions, ["comp", "part"]).join(sets.select("node", "tokens"), "node")
-    return both.select("node", "comp", "part", "tokens", "wide", "all").mapInArrow(run, "node long, comp long, part int")
-
+        from limen.llm.jaccard import Part
+
+        key, members, part = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for *at, asks, node, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+                tokens = np.frombuffer(tokens.as_py(), np.uint64)
+                if at != key:
+                    key, members, part = at, [], None
+                if not asks:
+                    members.append((node, tokens))
+                    continue
+                part = part or Part(members)
+                found = part.links(tokens, percent)
+                a += [node] * len(found)
+                b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def _matrix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes and the members of the parts that they open."""
     sizes = saved(left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
     parted = left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int"))
     parted = saved(parted.select("token", "node", "comp", "part", "m"), "parted")
     matrix = saved(parted.groupBy("token", "comp", "part").agg(F.max("m").alias("gm")).select("token", F.col("comp").alias("gc"), F.col("part").alias("gp"), "gm"), "matrix")
-    # of two groups the smaller asks
     met = parted.select("token", "node", "comp", "m").join(matrix, "token").where("struct(m, comp) < struct(gm, gc)")
     asked = saved(met.select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct(), "asked")
-    unions = saved(_unions(parted, sets), "unions")
-    opened = saved(_qualifying(asked, sets, unions, percent), "opened")
-    members = parted.select("comp", "part", F.col("node").alias("b")).distinct()
-    return opened.withColumnRenamed("node", "a").join(members, ["comp", "part"]).select("a", "b").distinct()
+    tasks = saved(asked.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("tasks")), "tasks")
+    members = parted.select("comp", "part", "node").distinct().join(tasks, ["comp", "part"])
+    members = members.select("comp", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("asks"), "node")
+    nodes = asked.join(tasks, ["comp", "part"]).select("comp", "part", F.pmod(F.xxhash64("node"), "tasks").cast("int").alias("task"), F.lit(1).alias("asks"), "node")
+    rows = members.unionByName(nodes).join(sets, "node").select("comp", "part", "task", "asks", "node", "tokens")
+    return rows.repartition("comp", "part", "task").sortWithinPartitions("comp", "part", "task", "asks").mapInArrow(run, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -324,7 +320,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp, links, tried, left = None, None, None, shared.withColumn("comp", F.col("node"))
     for _ in range(LEADER_ROUNDS):
         pairs = _leader_pairs(left, tried)
-        found = saved(_tested(pairs, sets, percent, True), "found")
+        found = saved(_compared(pairs, sets, percent), "found")
         release(spark)
         if found.isEmpty():
             break
@@ -332,8 +328,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = components(links)
         left = _unsettled(_with_comp(shared, comp))
-    possible = saved(_tested(_matrix_pairs(left, sets, percent), sets, percent, False), "possible")
-    found = saved(_tested(possible, sets, percent, True), "found")
+    found = saved(_matrix_links(left, sets, percent), "found")
     release(spark)
     if not found.isEmpty():
         links = found if links is None else links.unionByName(found)
