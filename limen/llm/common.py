@@ -16,7 +16,7 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch between Spark and Python at most (a single row may be larger): long texts and index
 #: blocks must not meet by the thousand.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _shipped: set[str] = set()

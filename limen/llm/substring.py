@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_caches, saved, ship
+from .common import own_caches, release, remove, saved, ship, work_dir
 
 LEAST = 20
 WINDOW = 15
@@ -107,14 +107,21 @@ def unit_rows(docs: DataFrame, unit: str, least: int, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, unit: str, least: int, window: int) -> DataFrame:
     """(id, key, spans): of each text that loses words, the (first, end) of word numbers, which may overlap."""
-    rows = unit_rows(docs, unit, least, window)
+    spark = docs.sparkSession
+    path = work_dir(spark, "units")
+    rows = saved(unit_rows(docs, unit, least, window), "units", path)
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("key"), F.col("at"))
     firsts = saved(rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first"), "first-units")
+    release(spark)
     found = rows.join(firsts, "digest")
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
     begin = F.when(own, F.greatest(F.col("at"), F.col("first.at") + F.col("n"))).otherwise(F.col("at"))
     lost = found.where(~(own & (F.col("at") == F.col("first.at"))))
-    return lost.groupBy("id", "key").agg(F.collect_set(F.struct(begin.alias("first"), (F.col("at") + F.col("n")).alias("end"))).alias("spans"))
+    spans = lost.groupBy("id", "key").agg(F.collect_set(F.struct(begin.alias("first"), (F.col("at") + F.col("n")).alias("end"))).alias("spans"))
+    spans = saved(spans, "lost-units")
+    remove(spark, path)
+    release(spark)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
