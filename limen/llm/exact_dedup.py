@@ -112,6 +112,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that exact_dedup keeps, all columns. Rows that share id and text are one document: all stay."""
-    gone = exact_dedup(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    keyed = df.withColumn("_sha", F.sha2(one_spaced(text_col), 256))
-    return keyed.join(gone, (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti").drop("_sha")
+    gone = exact_dedup(df, id_col, text_col).where("not kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias("key")).distinct()
+    # compared as structs: no name of df can clash, and null ids compare as well
+    own = F.struct(df[id_col].alias("id"), F.sha2(one_spaced(df[text_col]), 256).alias("sha"))
+    return df.join(gone, own == gone["key"], "left_anti")

@@ -40,7 +40,7 @@ def points(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(t) + F.lit(8)).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(t), 1).alias("digest"),
-        F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("place"),
+        F.coalesce(F.col("id").try_cast("long"), F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64("id"), 1))).alias("place"),
         F.octet_length(t).cast("long").alias("d0"),
         (letters - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("d1"),
         (letters - F.char_length(F.replace(t, F.lit(" "), F.lit("")))).cast("long").alias("d2"),

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import own_caches, saved, ship
 
 #: Labelled rows that train, on average.
 TRAIN_ROWS = 16_000
@@ -124,10 +124,11 @@ _words: dict[int, Words] = {}
 
 def words_of(key: int, lexicon: dict[str, float]) -> Words:
     """The worker's own table for one lexicon; only the latest is kept."""
-    if key not in _words:
-        _words.clear()
-        _words[key] = Words(lexicon)
-    return _words[key]
+    known = own_caches("toxicity", _words)
+    if key not in known:
+        known.clear()
+        known[key] = Words(lexicon)
+    return known[key]
 
 
 # --- trees -----------------------------------------------------------------------------------------------------
@@ -329,23 +330,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(whole, Trees().fit(x, y), isotonic(margin, y))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """Per row: id_col, held_out, score, predicted. keep: other columns to carry along."""
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Per row: id_col, held_out, score, predicted."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, rows))
-    carried = [c for c in keep or [] if c != id_col]
-    plain_rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carried)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain_rows.schema.fields if f.name != "_text") + ", score double"
+    plain_rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for b in batches:
-            score = model.score(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(score, pa.float64())], [b.schema.names[0], *b.schema.names[2:], "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1).to_pylist()), pa.float64())], ["_id", "score"])
 
-    found = plain_rows.mapInArrow(run, schema)
+    found = plain_rows.mapInArrow(run, f"_id {plain_rows.schema['_id'].dataType.simpleString()}, score double")
     rest = F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 0
-    return found.select(F.col("_id").alias(id_col), F.coalesce(rest, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carried)
+    return found.select(F.col("_id").alias(id_col), F.coalesce(rest, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs with a score below 0.5, all columns; columns go by place, so their names do not matter."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, rows))
+    at = docs.columns.index(text_col)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        for b in batches:
+            yield b.filter(pa.array(model.score(b.column(at).to_pylist()) < 0.5, pa.bool_()))
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
