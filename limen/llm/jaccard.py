@@ -9,14 +9,15 @@ of rows (token, node), whatever its length, and no list of frequent tokens is ne
 1. Partition: each node votes for the leader that its tokens name most (a token names its node of highest score, the
    sum of what its tokens have in common with others), is compared with that one alone, and joins it if they link. A
    few rounds, over the tokens whose nodes still lie in several groups; links stay linear in the nodes.
-2. Matrix: groups are cut into parts of some ``GROUP`` nodes, with a row for each token that members hold. A node asks
-   the parts of other groups that share a token with it, of two groups the smaller one asks. A part stores the union of
-   its members' shingles, and which members have each; a node's overlap with the union bounds what it can share with
-   any member, and the part stays closed to a node whose bound is below what a link needs.
+2. Matrix: nodes whose tokens still name nodes of other components go into groups of similar ones (the leader that
+   most of their tokens name, linked or not), cut into parts of some ``GROUP`` nodes, with a row for each token that
+   members hold. A node asks the parts that share a token with it and hold a node of a larger component. A part stores
+   the union of its members' shingles, and which members have each; a node's overlap with the union bounds what it can
+   share with any member, and the part stays closed to a node whose bound is below what a link needs.
 3. Parts that qualify are opened: a node's shingles that are in the union are counted for each member, which decides.
    Nodes come to a part as a stream, those of a part that very many ask in several tasks.
 
-Every pair of nodes that share a token is so in one group, excluded by a bound, or compared. Components come from
+Every pair of nodes that share a token is so in one component, excluded by a bound, or compared. Components come from
 contracting the links.
 
 Shingles are 64-bit hashes of their words and nodes 64-bit hashes of their sets; two different ones are taken as
@@ -237,29 +238,29 @@ def _leader_pairs(left: DataFrame, tried: DataFrame | None) -> DataFrame:
 class Part:
     """Members of a part of a group: the union of their shingles, in blocks of some CELLS cells, and who has which."""
 
-    def __init__(self, members: list[tuple[int, np.ndarray]]):
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]):
         self.blocks, own, size = [], [], 0
-        for node, tokens in [*members, (None, None)]:
+        for node, comp, tokens in [*members, (None, None, None)]:
             if own and (node is None or (size + len(tokens)) * (len(own) + 1) > CELLS):
-                sizes = np.array([len(t) for _, t in own])
-                union, place = np.unique(np.concatenate([t for _, t in own]), return_inverse=True)
+                sizes = np.array([len(t) for *_, t in own])
+                union, place = np.unique(np.concatenate([t for *_, t in own]), return_inverse=True)
                 has = np.zeros((len(union), len(own)), bool)
                 has[place, np.repeat(np.arange(len(own)), sizes)] = True
-                self.blocks.append((np.array([k for k, _ in own]), sizes, union, has))
+                self.blocks.append((*np.array([k[:2] for k in own]).T, sizes, union, has))
                 own, size = [], 0
             if node is not None:
-                own.append((node, tokens))
+                own.append((node, comp, tokens))
                 size += len(tokens)
 
-    def links(self, tokens: np.ndarray, percent: int) -> list[int]:
-        """The members that link to a set."""
+    def links(self, comp: int, tokens: np.ndarray, percent: int) -> list[int]:
+        """The members of other components that link to a set."""
         out: list[int] = []
-        for nodes, sizes, union, has in self.blocks:
+        for nodes, comps, sizes, union, has in self.blocks:
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             at = at[union[at] == tokens]
             if len(at) >= least_shared(len(tokens), percent):  # else closed
                 both = has[at].sum(axis=0)
-                out += nodes[100 * both >= percent * (len(tokens) + sizes - both)].tolist()
+                out += nodes[(100 * both >= percent * (len(tokens) + sizes - both)) & (comps != comp)].tolist()
         return out
 
 
@@ -274,31 +275,39 @@ def _matrix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         key, members, part = None, [], None
         for batch in batches:
             a, b = [], []
-            for *at, asks, node, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+            for *at, asks, node, comp, tokens in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
                 tokens = np.frombuffer(tokens.as_py(), np.uint64)
                 if at != key:
                     key, members, part = at, [], None
                 if not asks:
-                    members.append((node, tokens))
+                    members.append((node, comp, tokens))
                     continue
                 part = part or Part(members)
-                found = part.links(tokens, percent)
+                found = part.links(comp, tokens, percent)
                 a += [node] * len(found)
                 b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sizes = saved(left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    parted = left.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / GROUP)).cast("int"))
-    parted = saved(parted.select("token", "node", "comp", "part", "m"), "parted")
-    matrix = saved(parted.groupBy("token", "comp", "part").agg(F.max("m").alias("gm")).select("token", F.col("comp").alias("gc"), F.col("part").alias("gp"), "gm"), "matrix")
-    met = parted.select("token", "node", "comp", "m").join(matrix, "token").where("struct(m, comp) < struct(gm, gc)")
-    asked = saved(met.select("node", F.col("gc").alias("comp"), F.col("gp").alias("part")).distinct(), "asked")
-    tasks = saved(asked.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("tasks")), "tasks")
-    members = parted.select("comp", "part", "node").distinct().join(tasks, ["comp", "part"])
-    members = members.select("comp", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("asks"), "node")
-    nodes = asked.join(tasks, ["comp", "part"]).select("comp", "part", F.pmod(F.xxhash64("node"), "tasks").cast("int").alias("task"), F.lit(1).alias("asks"), "node")
-    rows = members.unionByName(nodes).join(sets, "node").select("comp", "part", "task", "asks", "node", "tokens")
-    return rows.repartition("comp", "part", "task").sortWithinPartitions("comp", "part", "task", "asks").mapInArrow(run, "a long, b long")
+    nodes = saved(left.select("comp", "node").distinct(), "open-nodes")
+    sizes = saved(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    # similar nodes: those that the same leader gathers
+    chiefs = saved(left.groupBy("token").agg(F.max(F.struct("score", "node")).alias("chief")), "chiefs")
+    votes = left.join(chiefs, "token").groupBy("node", F.col("chief.node").alias("lead")).agg(F.count(F.lit(1)).alias("v"))
+    lead = saved(votes.groupBy("node").agg(F.max(F.struct("v", "lead")).alias("best")).select("node", "best.lead"), "leads")
+    gathered = saved(lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "gathered")
+    placed = lead.join(gathered, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    placed = saved(placed.join(nodes, "node").join(sizes, "comp"), "placed")
+    parted = saved(left.select("token", "node").join(placed, "node"), "parted")
+    rank = F.struct("size", "comp")
+    matrix = saved(parted.groupBy("token", "lead", "part").agg(F.max(rank).alias("top")), "matrix")
+    met = parted.select("token", "node", rank.alias("rank")).join(matrix, "token").where("rank < top")
+    asked = saved(met.select("node", "lead", "part").distinct(), "asked")
+    tasks = saved(asked.groupBy("lead", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("tasks")), "tasks")
+    members = placed.select("lead", "part", "node").join(tasks, ["lead", "part"])
+    members = members.select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("asks"), "node")
+    asking = asked.join(tasks, ["lead", "part"]).select("lead", "part", F.pmod(F.xxhash64("node"), "tasks").cast("int").alias("task"), F.lit(1).alias("asks"), "node")
+    rows = members.unionByName(asking).join(sets.join(nodes, "node"), "node").select("lead", "part", "task", "asks", "node", "comp", "tokens")
+    return rows.repartition("lead", "part", "task").sortWithinPartitions("lead", "part", "task", "asks").mapInArrow(run, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = PERCENT) -> DataFrame:
