@@ -9,8 +9,8 @@ of rows (token, node), whatever its length, and no list of frequent tokens is ne
 1. Partition: each node votes for the leader that its tokens name most (a token names its node of highest score, the
    sum of what its tokens have in common with others), is compared with that one alone, and joins it if they link. A
    few rounds, over the tokens whose nodes still lie in several groups; links stay linear in the nodes.
-2. Matrix: nodes whose tokens still name nodes of other components go into groups of similar ones (the leader that
-   most of their tokens name, linked or not), cut into parts of some ``GROUP`` nodes, with a row for each token that
+2. Matrix: nodes whose tokens still name nodes of other components go into groups of similar ones (those that a node of
+   high score gathers by its tokens, and by those of the gathered, linked or not), cut into parts of some ``GROUP`` nodes, with a row for each token that
    members hold. A node asks the parts that share a token with it and hold a node of a larger component. A part stores
    the union of its members' shingles, and which members have each; a node's overlap with the union bounds what it can
    share with any member, and the part stays closed to a node whose bound is below what a link needs.
@@ -43,9 +43,9 @@ from .common import own_caches, release, remove, saved, ship, work_dir
 PERCENT = 75
 #: Minima in a token, and how likely a pair at the limit may share no token.
 MINIMA, MISS = 3, 1.5e-12
-GROUP = 256
+GROUP = 1024
 #: Nodes that ask one task for one part, about; cells (shingle, member) of a block of a part.
-ASKS, CELLS = 2048, 1 << 24
+ASKS, CELLS = 2048, 1 << 22
 LEADER_ROUNDS = 3
 #: Tokens that a node and its leader share for a comparison in the partition; pairs below are left to the matrix.
 LEAST_VOTES = 5
@@ -290,10 +290,13 @@ def _matrix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     nodes = saved(left.select("comp", "node").distinct(), "open-nodes")
     sizes = saved(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    # similar nodes: those that the same leader gathers
-    chiefs = saved(left.groupBy("token").agg(F.max(F.struct("score", "node")).alias("chief")), "chiefs")
-    votes = left.join(chiefs, "token").groupBy("node", F.col("chief.node").alias("lead")).agg(F.count(F.lit(1)).alias("v"))
-    lead = saved(votes.groupBy("node").agg(F.max(F.struct("v", "lead")).alias("best")).select("node", "best.lead"), "leads")
+    # similar nodes: those that one of high score gathers, by its tokens and by those of the gathered
+    held, own = left.select("token", "node"), left.select("token", "node", F.struct("score", "node").alias("top"))
+    for _ in range(2):
+        tops = saved(own.groupBy("token").agg(F.max("top").alias("top")), "tops")
+        best = saved(held.join(tops, "token").groupBy("node").agg(F.max("top").alias("top")), "best")
+        own = held.join(best, "node")
+    lead = best.select("node", F.col("top.node").alias("lead"))
     gathered = saved(lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "gathered")
     placed = lead.join(gathered, "lead").select("node", "lead", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
     placed = saved(placed.join(nodes, "node").join(sizes, "comp"), "placed")
