@@ -44,7 +44,7 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: No SQL: a trained model and a tokenizer are among the stages; tests hold the result against brute force.
+#: No SQL: a trained model and a tokenizer are among the stages; tests/llm/test_pipeline.py chains plain versions.
 ORACLE_SQL = None
 
 
