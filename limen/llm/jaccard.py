@@ -111,12 +111,13 @@ def bands_for(percent: int) -> int:
 
 
 def bands(tokens: np.ndarray, many: int) -> np.ndarray:
-    """The matrix tokens of a set: ``many`` hashes of MINIMA minima each."""
-    by = _mixed(np.arange(1, many * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
-    low = np.full(len(by), np.iinfo(np.uint64).max)
+    """The matrix tokens of a set: ``many`` hashes of MINIMA minima each, over the upper halves of the shingles."""
+    by = (_mixed(np.arange(1, many * MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    halves = (tokens >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(by), np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(tokens), 128):
-            np.minimum(low, (tokens[None, at : at + 128] * by[:, None]).min(axis=1), out=low)
+        for at in range(0, len(halves), 1024):
+            np.minimum(low, np.multiply.outer(by, halves[at : at + 1024]).min(axis=1), out=low)
         out = np.arange(many, dtype=np.uint64)
         for part in low.reshape(many, MINIMA).T:
             out = _mixed(out + part)
@@ -143,6 +144,17 @@ def _sets(docs: DataFrame, n: int, many: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, n long, node long, bands array<bigint>")
 
 
+def _passing(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is one of wanted's, with few others: a filter of fixed size, on every machine, keeps most
+    rows out of the shuffle of a join that follows."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
+    bits = saved(bits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
+    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.expr("bitmap_bucket_number(_at) = bucket"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select(*rows.columns)
+
+
 def _node_sets(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(node, tokens) of the nodes in reps (node, id), each from one document that has it."""
 
@@ -155,13 +167,9 @@ def _node_sets(rows: DataFrame, reps: DataFrame, n: int) -> DataFrame:
             sets = {node_of(s): s for s in (shingles(t.as_py(), n) for t in b.column(0)) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["node", "tokens"])
 
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    # a filter of fixed size keeps most other texts out of the shuffle
-    bits = saved(reps.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")), "bits")
-    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.expr("bitmap_bucket_number(_at) = bucket"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    passing = marked.where(F.floor(byte / F.pow(F.lit(2), F.expr("bitmap_bit_position(_at) % 8"))) % 2 == 1).select("id", "text")
-    texts = passing.join(reps.select("id"), passing["id"].eqNullSafe(reps["id"]), "left_semi")
+    # an inner join: Spark would take a semi join below the filter, and shuffle all texts
+    passing, ids = _passing(rows, "id", reps), reps.select("id").distinct()
+    texts = passing.join(ids, passing["id"].eqNullSafe(ids["id"]))
     # an id may repeat with several texts: only sets that are wanted stay, each once
     return texts.select("text").mapInArrow(run, "node long, tokens binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -178,8 +186,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(c.column(2), c.column(3))]
             yield pa.RecordBatch.from_arrays(c.columns[:2], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    left = _passing(sets, "node", pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    right = _passing(sets, "node", pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -309,7 +317,8 @@ def _matrix_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = placed.select("lead", "part", "node").join(tasks, ["lead", "part"])
     members = members.select("lead", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("asks"), "node")
     asking = asked.join(tasks, ["lead", "part"]).select("lead", "part", F.pmod(F.xxhash64("node"), "tasks").cast("int").alias("task"), F.lit(1).alias("asks"), "node")
-    rows = members.unionByName(asking).join(sets.join(nodes, "node"), "node").select("lead", "part", "task", "asks", "node", "comp", "tokens")
+    roles = saved(members.unionByName(asking), "roles")
+    rows = roles.join(_passing(sets, "node", roles).join(nodes, "node"), "node").select("lead", "part", "task", "asks", "node", "comp", "tokens")
     return rows.repartition("lead", "part", "task").sortWithinPartitions("lead", "part", "task", "asks").mapInArrow(run, "a long, b long")
 
 
