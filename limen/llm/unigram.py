@@ -18,6 +18,7 @@ null; an empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,9 +35,17 @@ LONG = 64
 #: A space and, as the group, the spaces and the word after it.
 _UNIT = re.compile(r" ( *[^ ]*)")
 
+#: Score of a place that no path reaches.
+NEVER = float("-inf")
+
 _models: dict[str, "Unigram"] = {}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class DoubleArray:
     """Trie with base and check: the child of state s by byte c is base[s] + c, if check there is s."""
 
@@ -84,6 +93,8 @@ class DoubleArray:
             for c, a, b in parts:
                 check[base + c] = state
                 todo.append((base + c, a, b, depth + 1))
+        for column, empty in ((self.base, 0), (self.check, -1), (self.value, -1)):
+            column += [empty] * 256  # any base plus any byte is a place
 
     def _grow(self) -> None:
         n = len(self.check)
@@ -91,17 +102,6 @@ class DoubleArray:
         self.check += [-1] * n
         self.value += [-1] * n
 
-    def walk(self, text: bytes, start: int):
-        """(end, value) of each key that text has at start, the shortest first."""
-        base, check, value, state = self.base, self.check, self.value, 0
-        for at in range(start, len(text)):
-            to = base[state] + text[at]
-            if to >= len(check) or check[to] != state:
-                return
-            state = to
-            if value[state] >= 0:
-                yield at + 1, value[state]
-
 
 def read_model(path: str) -> list[tuple[str, float, int]]:
     """(piece, score, type) of a model file."""
@@ -133,33 +133,45 @@ class Unigram:
         self.kept: dict[str, bytes] = {}
 
     def viterbi(self, word: str) -> list[int]:
-        """Ids of the best path over a marked text."""
+        """Ids of the best path over a marked text. The trie is walked in place: most of the time goes here."""
         text = word.encode()
         n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        best = [NEVER] * (n + 1)
+        back, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for at in range(n):
             here = best[at]
-            if here is None:
+            if here == NEVER:
                 continue
             lead = text[at]
             one = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            single = False
-            for end, piece in self.trie.walk(text, at):
-                total = here + self.score[piece]
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (at, piece)
-                single = single or end == one
+            state, end, single = 0, at, False
+            for c in text[at:] if at else text:
+                to = base[state] + c
+                if check[to] != state:
+                    break
+                state = to
+                end += 1
+                found = value[to]
+                if found >= 0:
+                    total = here + score[found]
+                    if total > best[end]:
+                        best[end], back[end], piece[end] = total, at, found
+                    if end == one:
+                        single = True
             if not single:
                 total = here + self.unknown
-                if best[one] is None or total > best[one]:
-                    best[one], back[one] = total, (at, -1)
+                if total > best[one]:
+                    best[one], back[one], piece[one] = total, at, -1
         out: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
-            out += [piece] if piece >= 0 else [self.bytes[c] for c in reversed(text[start:at])]
+            start = back[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out += [self.bytes[c] for c in reversed(text[start:at])]
             at = start
         return out[::-1]
 
@@ -178,7 +190,7 @@ class Unigram:
                     w = words[i]
                     ids = kept.get(w)
                     if ids is None:
-                        ids = np.array(self.viterbi(MARK + w.replace(" ", MARK)), "<u4").tobytes()
+                        ids = packed(self.viterbi(MARK + w.replace(" ", MARK)))
                         if len(w) <= LONG:
                             kept[w] = ids
                     found[i] = ids
