@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limen.functions.numeric import average_rank, student_two_sided
+from limen.functions.numeric import student_two_sided
 
 
 def welch(df: DataFrame, value: str, grp: str, a: str, b: str, *by: str) -> DataFrame:
@@ -27,27 +27,49 @@ def chi2_yates(tables: DataFrame) -> DataFrame:
     return tables.withColumn("chi2", F.when(rows > 0, n * off * off / rows))
 
 
+#: Ranges that ranks are counted in.
+RANGES = 256
+
+
+def _below(df: DataFrame, value: str, first: Column, *by: str) -> DataFrame:
+    """(by, value, _p, _q, _below) of each distinct value: its rows of the first group, its others, and the rows with
+    smaller values. Places are counted within ranges and the totals of the ranges, RANGES a group, are added: no task
+    sees all rows. Nulls come first and NaN last."""
+    t = df.groupBy(*by, value).agg(F.count_if(first).alias("_p"), F.count_if(~first).alias("_q"))
+    cuts = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
+    inside = F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(value)) if cuts else F.array()
+    t = t.withColumn("_k", F.size(inside))
+    n = F.col("_p") + F.col("_q")
+    earlier = lambda what, w: F.coalesce(F.sum(what).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = t.groupBy(*by, "_k").agg(F.sum(n).alias("_n"))
+    starts = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_k").alias("_at"), earlier("_n", Window.partitionBy(*by).orderBy("_k")).alias("_start"))
+    on = F.col("_k") == F.col("_at")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    t = t.withColumn("_inner", earlier(n, Window.partitionBy(*by, "_k").orderBy(value)))
+    return t.join(starts, on).select(*by, value, "_p", "_q", (F.col("_inner") + F.col("_start")).alias("_below"))
+
+
+def _rank_totals(df: DataFrame, value: str, first: Column, *by: str) -> DataFrame:
+    """(by, rs, n1, n0, tie): sum of the first group's average ranks, both sizes, and what ties take off."""
+    n = F.col("_p") + F.col("_q")
+    s = _below(df, value, first, *by).groupBy(*by)
+    return s.agg(F.sum(F.col("_p") * (F.col("_below") + (n + 1) / 2.0)).alias("rs"), F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(n * (n.cast("double") ** 2 - 1)).alias("tie"))
+
+
 def rank_sum(df: DataFrame, value: str, grp: str, first: str, *by: str) -> DataFrame:
-    """U of the first group, and z with corrections for ties and continuity."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    r = df.withColumns({"_r": average_rank(value, *by), "_t": ties, "_f": F.col(grp) == first})
-    s = r.groupBy(*by).agg(
-        F.sum(F.when(F.col("_f"), F.col("_r"))).alias("rs"), F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n0"),
-        F.sum(F.col("_t").cast("double") ** 2 - 1).alias("tie"),
-    )
+    """U of the first group, and z with corrections for ties and continuity; z is null where all values tie."""
+    s = _rank_totals(df, value, F.col(grp).eqNullSafe(first), *by)
     n = F.col("n1") + F.col("n0")
-    u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    s = s.withColumn("u", u)
+    s = s.withColumn("u", F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     off = F.col("u") - F.col("n1") * F.col("n0") / 2.0
-    sd = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1.0))))
-    return s.select(*by, "n1", "n0", "u", ((off - F.signum(off) * 0.5) / sd).alias("z"))
+    sd = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1.0))))
+    return s.select(*by, "n1", "n0", "u", F.try_divide(off - F.signum(off) * 0.5, sd).alias("z"))
 
 
 def auroc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """Area under the curve from average ranks; null for one class."""
-    r = df.withColumn("_r", average_rank(score, *by))
-    y = F.col(label) == 1
-    s = r.groupBy(*by).agg(F.sum(F.when(y, F.col("_r"))).alias("rs"), F.count_if(y).alias("n1"), F.count_if(~y).alias("n0"))
+    s = _rank_totals(df, score, F.col(label).eqNullSafe(1), *by)
     return s.select(*by, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))).alias("auroc"))
 
 
