@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     s = Settings()
     p.add_argument("--abundance", type=float, default=s.abundance)
     p.add_argument("--target", type=float, default=s.target_pp)
+    p.add_argument("--min-nuclei", type=int, default=s.min_cells, help="nuclei of either library of a pair")
+    p.add_argument("--min-n-eff", type=float, default=s.min_n_eff, help="least n_eff of an expression row")
     p.add_argument("--n-boot", type=int, default=s.n_boot)
     p.add_argument("--seed", type=int, default=s.seed)
     return p
@@ -32,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     if not args.composition and not args.expression:
         print("give --composition, --expression or both", file=sys.stderr)
         return 2
-    s = Settings(abundance=args.abundance, target_pp=args.target, n_boot=args.n_boot, seed=args.seed)
+    s = Settings(abundance=args.abundance, target_pp=args.target, min_cells=args.min_nuclei, min_n_eff=args.min_n_eff, n_boot=args.n_boot, seed=args.seed)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     read = lambda path: spark.read.option("header", True).option("inferSchema", True).csv(path)

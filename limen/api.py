@@ -95,8 +95,8 @@ def estimate_composition(df: DataFrame, s: Settings = Settings()) -> Composition
     return CompositionResult(one["kappa"], lo, hi, one["n_pairs"], one["n_donors"], r["abundance_r"], by_type.orderBy(F.col("kappa").desc()))
 
 
-def estimate_expression(df: DataFrame, s: Settings = Settings(), min_n_eff: float = 0.0) -> ExpressionResult:
-    rows = kept_pairs(check_expression(df), s.min_cells).where(F.col("n_eff") >= min_n_eff)
+def estimate_expression(df: DataFrame, s: Settings = Settings(), min_n_eff: float | None = None) -> ExpressionResult:
+    rows = kept_pairs(check_expression(df), s.min_cells).where(F.col("n_eff") >= (s.min_n_eff if min_n_eff is None else min_n_eff))
     law = X.power_law(rows, "n_eff", "floor").first()
     if law is None or law["n_obs"] < 5:
         raise ValueError("fewer than five observations")
