@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, sharding, substring, token_counts, topk, toxicity, unigram, warc
+from . import centroids, jaccard, merkle, packing, secret_scan, sharding, substring, token_counts, topk, toxicity, unigram, warc
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -107,6 +107,76 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_elkan_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
+def _op11_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    far = "cast(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.v, c.c)]) AS BIGINT)"
+    parts = [
+        f"""v AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, [cast(floor({centroids.SCALE} * cast(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT v, sha256('1:' || coalesce(cast(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'j': j}}) AS m FROM (SELECT v.*, c.j, {far} AS d FROM v, c{r} c) GROUP BY n)")
+        if r < rounds:
+            # floor of a quotient of whole numbers, exactly
+            parts.append(f"""s{r} AS (SELECT m.j AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, generate_series(1, {dims}) g(i) GROUP BY m.j, i),
+n{r} AS (SELECT j, list(cast((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY j),
+c{r + 1} AS (SELECT c{r}.j, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} ON c{r}.j = n{r}.j)""")
+    last = f"""SELECT vec_id, cast(m.j AS INTEGER) AS cluster, m.d AS distance, cast(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia,
+    cast(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.m.j = c.j"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"), MANIFEST_FIELDS, merkle.lowered_text_leaf(MANIFEST_FIELDS))
+
+
+def _op12_sql(group_levels: int = 7, top_levels: int = 2) -> str:
+    """Levels are written out: enough for 8^7 documents of a language and 64 languages; a lone node stays as it is."""
+    framed = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(cast({c} AS VARCHAR))) || ':' || {c} END"
+    digest = lambda text: "sha256(" + " || ".join(framed(text if f == "text" else f) for f in MANIFEST_FIELDS) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 is no function of this SQL: bitwise, from a table of its own
+    crc = """t(i, c) AS (SELECT i, list_reduce(list_concat([i], generate_series(1, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) FROM range(256) r(i)),
+ct AS (SELECT list(c ORDER BY i) AS tab FROM t),
+d AS (SELECT documents.*, xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split(cast(doc_id AS VARCHAR), '')]), lambda c, x: xor(ct.tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS crc FROM documents, ct)"""
+    parts = [crc, f"l0 AS (SELECT lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, doc_id, {digest('text')} AS node, CASE WHEN crc % 3 = 0 THEN {digest(low)} END AS forged FROM d)"]
+
+    def climb(name: str, levels: int) -> None:
+        for h in range(levels):
+            parts.append(f"{name}s{h} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, string_agg(node, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, string_agg(node, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM {name}{h})")
+            parts.append(f"{name}{h + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE any_value(node) END AS node FROM {name}s{h} GROUP BY g, i // 8)")
+
+    climb("l", group_levels)
+    parts.append(f"k0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, g AS lang, node FROM l{group_levels})")
+    climb("k", top_levels)
+    now, proof, joins = "coalesce(l0.forged, l0.node)", [], []
+    for name, levels in (("l", group_levels), ("k", top_levels)):
+        for h in range(levels):
+            at = f"{name}s{h}"
+            own = f"l0.i // {8**h}" if name == "l" else f"top.i // {8**h}"
+            joins.append(f"JOIN {at} ON {at}.i = {own} AND {at}.g IS NOT DISTINCT FROM " + ("l0.g" if name == "l" else "0"))
+            proof.append(f"coalesce({at}.a, '') || coalesce({at}.b, '')")
+    steps = [f"SELECT l0.doc_id, l0.node AS leaf, top.node AS subroot, k{top_levels}.node AS root, sha256({' || '.join(proof)}) AS proof_sha256, {now} AS f0, "
+             + ", ".join(f"{name}s{h}.n > 1 AS m{at}, coalesce({name}s{h}.a, '') AS a{at}, coalesce({name}s{h}.b, '') AS b{at}" for at, (name, h) in enumerate([("l", h) for h in range(group_levels)] + [("k", h) for h in range(top_levels)]))
+             + f" FROM l0 JOIN k0 top ON top.lang IS NOT DISTINCT FROM l0.g {' '.join(joins)} CROSS JOIN k{top_levels}"]
+    parts.append(f"p0 AS ({steps[0]})")
+    for at in range(group_levels + top_levels):
+        parts.append(f"p{at + 1} AS (SELECT *, CASE WHEN m{at} THEN sha256(a{at} || f{at} || b{at}) ELSE f{at} END AS f{at + 1} FROM p{at})")
+    end = group_levels + top_levels
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, f{end} AS folded_root, f{end} = root AS verified FROM p{end}"
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -119,6 +189,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_elkan_centroids": op11_elkan_centroids,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
@@ -127,4 +200,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": OP4_SQL,
         "op6_top_k": OP6_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_elkan_centroids": _op11_sql(),
+        "op12_merkle_manifest": _op12_sql(),
     }
