@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limen.sources.matrix_market import open_matrix
+from limen.sources.scratch import written
+
 INTERVAL = r"^(.+?)[:-](\d+)-(\d+)$"
 
 
@@ -20,29 +24,19 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: str, sep:
     return (r.option("comment", comment) if comment else r).csv(path)
 
 
-def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int, int]]:
+def read_matrix_market(spark: SparkSession, path: str, rows: int | None = None, cols: int | None = None) -> tuple[DataFrame, tuple[int, int, int]]:
     """((row, col, value), (rows, cols, entries)) of a coordinate file; indices from 0, explicit zeros kept.
 
-    The banner and the dimension line are the head of the file and read once; the triplets are a distributed scan. One
-    line that reads like the dimension line is taken for it, others are triplets. The number of triplets and their
-    indices are checked against the dimensions."""
-    lines = spark.read.text(path)
-    head = [r["value"] for r in lines.where(~F.col("value").startswith("%")).limit(1).collect()]
-    banner = lines.first()
-    if not banner or not banner["value"].startswith("%%MatrixMarket"):
-        raise ValueError(f"{path}: no MatrixMarket banner")
-    if not head:
-        raise ValueError(f"{path}: no dimension line")
-    dims = tuple(int(x) for x in head[0].split())
-    f = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    row, col = f[0].cast("int"), f[1].cast("int")
-    seen = body.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == head[0]).alias("alike"), F.max(row).alias("row"), F.max(col).alias("col"), F.min(F.least(row, col)).alias("low")).first()
-    if seen["n"] - 1 != dims[2] or seen["row"] > dims[0] or seen["col"] > dims[1] or (dims[2] and seen["low"] < 1):
-        raise ValueError(f"{path}: {seen['n'] - 1} triplets with indices up to {seen['row']}, {seen['col']}; the file declares {dims}")
-    again = spark.range(seen["alike"] - 1).select(F.lit(head[0]).alias("value"))
-    triplets = body.where(F.col("value") != head[0]).unionByName(again)
-    return triplets.select((row - 1).alias("row"), (col - 1).alias("col"), f[2].cast("double").cast("int").alias("value")), dims
+    The text is parsed once, into a written table that is checked against the head of the file and, where given, the
+    numbers of feature and barcode names; ValueError where they differ. For scans without that table see
+    limen.sources.matrix_market.open_matrix."""
+    m = open_matrix(spark, path, rows, cols)
+    try:
+        table = written(m.entries, "matrix")
+    except PySparkException as wrong:
+        raise ValueError(f"{path}: {wrong}") from None
+    m.check()
+    return table, m.head.dims
 
 
 def read_gtf_genes(spark: SparkSession, path: str) -> DataFrame:

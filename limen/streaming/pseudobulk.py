@@ -20,3 +20,31 @@ def running_pseudobulk(stream: DataFrame, groups: list[str], feature: str = "fea
 def start(bulk: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     """Run over all files that are there, then stop; the sums are the in-memory table ``name`` (small results)."""
     return bulk.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bulk_by_batch(spark: SparkSession, path: str, cells: DataFrame, groups: list[str], work: str, max_bytes: int, split: int) -> StreamingQuery:
+    """Pseudobulk of a MatrixMarket file in micro-batches that resume within the file: each batch writes its sums to a
+    folder of its own below work, so a batch that is repeated overwrites what it wrote.
+
+    cells: col and the groups of each column. The checkpoint and the reader's notes lie below work as well."""
+    from limen.sources.matrix_market import matrix_stream
+
+    def sums(batch: DataFrame, number: int) -> None:
+        rows = batch.join(cells, "col").withColumnRenamed("row", "feature").where("value <> 0")
+        rows.groupBy(*groups, "feature").agg(F.sum("value").alias("count")).write.mode("overwrite").parquet(f"{work}/sums/batch={number}")
+
+    stream = matrix_stream(spark, path, f"{work}/progress", max_bytes, split)
+    return stream.writeStream.foreachBatch(sums).option("checkpointLocation", f"{work}/checkpoint").start()
+
+
+def finish(query: StreamingQuery) -> None:
+    """Process all that is there, then stop."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def matrix_bulk(spark: SparkSession, work: str, groups: list[str]) -> DataFrame:
+    """What the batches below work add up to; complete once the stream has ended."""
+    return spark.read.parquet(f"{work}/sums").groupBy(*groups, "feature").agg(F.sum("count").alias("count"))
