@@ -125,7 +125,8 @@ def conformal_coverage(df: DataFrame, label: str, score: str, alpha: float, tie:
     """Sets from thresholds by class: share of rows whose set holds their label, by class too, and of sets of one."""
     misfit = F.when(F.col(label) == 1, 1 - F.col(score)).otherwise(F.col(score))
     q = T.conformal_thresholds(df.withColumn("_a", misfit), label, "_a", alpha, tie)
-    q = q.agg(F.max(F.when(F.col(label) == 0, F.col("threshold"))).alias("q0"), F.max(F.when(F.col(label) == 1, F.col("threshold"))).alias("q1"))
+    of = lambda k: F.coalesce(F.max(F.when(F.col(label) == k, F.col("threshold"))), F.lit(1.0))  # noqa: E731  1 for a class without rows
+    q = q.agg(of(0).alias("q0"), of(1).alias("q1"))
     t = df.crossJoin(F.broadcast(q)).withColumns({"in0": F.col(score) <= F.col("q0"), "in1": 1 - F.col(score) <= F.col("q1")})  # one row
     hit = F.when(F.col(label) == 1, F.col("in1")).otherwise(F.col("in0")).cast("double")
     by = lambda k: F.avg(F.when(F.col(label) == k, hit))

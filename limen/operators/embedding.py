@@ -1,8 +1,7 @@
-"""Vectors: TF-IDF, latent components from a Gram matrix, nearest neighbours and their aggregates."""
+"""Weights of sparse counts: TF-IDF. Components are in latent.py, neighbours and their groups in neighbours.py."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,52 +12,3 @@ def tf_idf(cells: DataFrame, n_obs: int, scale: float = 1e4) -> DataFrame:
     total = F.sum("value").over(Window.partitionBy("obs"))
     df = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
     return cells.withColumn("tf", F.col("value") / total).join(df, "feature").select("obs", "feature", F.log1p(scale * F.col("tf") * F.ln(1 + n_obs / F.col("df"))).alias("w"))
-
-
-def latent_components(weights: DataFrame, k: int, drop_first: bool = True) -> DataFrame:
-    """(obs, component, x): scores on the leading right singular vectors, signs fixed by the largest loading.
-
-    Features are a vocabulary of bounded size: the Gram matrix (features squared) is summed by Spark and decomposed
-    on the driver; observations stay distributed."""
-    a = weights.select("obs", F.col("feature").alias("f"), F.col("w").alias("v"))
-    b = weights.select("obs", F.col("feature").alias("g"), F.col("w").alias("u"))
-    gram = a.join(b, "obs").groupBy("f", "g").agg(F.sum(F.col("v") * F.col("u")).alias("s")).collect()
-    names = sorted({r["f"] for r in gram})
-    at = {n: i for i, n in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in gram:
-        m[at[r["f"]], at[r["g"]]] = r["s"]
-    _, vectors = np.linalg.eigh(m)
-    first = 1 if drop_first else 0
-    loadings = []
-    for c in range(min(k, max(0, len(names) - first))):
-        v = vectors[:, -1 - first - c]
-        v = v * np.sign(v[np.abs(v).argmax()])
-        loadings += [(n, c, float(x)) for n, x in zip(names, v)]
-    table = weights.sparkSession.createDataFrame(loadings, "feature string, component int, loading double")
-    return weights.join(F.broadcast(table), "feature").groupBy("obs", "component").agg(F.sum(F.col("w") * F.col("loading")).alias("x"))
-
-
-def nearest(rows: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(seed, vec_id, distance, rank): the k nearest of rows (vec_id, v) to each of a stated set of seeds (seed, sv).
-
-    Every seed meets every row by definition; the partial top-k runs before the shuffle."""
-    d = F.sqrt(F.aggregate(F.zip_with("v", "sv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    met = rows.crossJoin(seeds).where("vec_id <> seed").select("seed", "vec_id", d.alias("distance"))
-    w = Window.partitionBy("seed").orderBy("distance", "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def thinned_groups(members: DataFrame, overlap: float) -> DataFrame:
-    """Seeds kept greedily in order, those dropped that share more than overlap of their members with a kept one.
-    members: (seed, vec_id) of a stated set of seeds."""
-
-    def thin(pdf):
-        kept, out = [], []
-        for seed, m in sorted((s, set(g["vec_id"])) for s, g in pdf.groupby("seed")):
-            if all(len(m & other) <= overlap * len(m) for other in kept):
-                kept.append(m)
-                out.append(seed)
-        return pdf.iloc[: len(out)][["seed"]].assign(seed=out)
-
-    return members.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: thin(pdf), "seed long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limen.functions.numeric import hash_number
+from limen.operators.ranges import dealt, previous, running_total
 
 
 def balanced_sample(cells: DataFrame, per_type: int, seed: int = 0) -> DataFrame:
@@ -44,24 +45,58 @@ def multinomial_downsample(counts: DataFrame, target: int, seed: int = 0) -> Dat
 def caliper_match(cases: DataFrame, controls: DataFrame, caliper: float, seed: int = 0) -> DataFrame:
     """Nearest controls without replacement within strata: cases in hashed order, ties to the smaller id.
 
-    Candidates come from an equi-join on the stratum with the caliper as residual; matching runs per stratum."""
-    c = cases.select("stratum", F.col("id").alias("case_id"), F.col("x").alias("cx"), hash_number(F.lit(seed), "id").alias("h"))
-    k = controls.select("stratum", F.col("id").alias("control_id"), F.col("x").alias("kx"))
-    near = c.join(k, "stratum").withColumn("gap", F.abs(F.col("cx") - F.col("kx"))).where(F.col("gap") <= caliper)
+    A stratum in order of x falls into segments wherever neighbours lie farther apart than the caliper: nothing on one
+    side can meet anything on the other, so segments are matched each for itself, without joining cases to controls.
+    Rows without a stratum or x match nothing."""
+    c = cases.select("stratum", F.col("x").cast("double").alias("x"), F.col("id").cast("long").alias("id"), F.lit(0).alias("control"))
+    k = controls.select("stratum", F.col("x").cast("double").alias("x"), F.col("id").cast("long").alias("id"), F.lit(1).alias("control"))
+    both = c.unionByName(k).dropna(subset=["stratum", "x"]).withColumn("h", hash_number(F.lit(seed), "id"))
+    order = ["x", "control", "id"]
+    seen = previous(dealt(both, ["stratum"], order, "match"), ["stratum"], order, "x", "_x")
+    far = F.when(F.col("_x").isNull() | (F.col("x") - F.col("_x") > caliper), 1).otherwise(0)
+    parted = running_total(seen, ["stratum"], order, far, "segment").select("stratum", "segment", *order, "h")
 
     def match(pdf):
-        used, out = set(), []
-        for (_, case), rows in pdf.sort_values(["h", "case_id", "gap", "control_id"]).groupby(["h", "case_id"], sort=True):
-            for r in rows.itertuples():
-                if r.control_id not in used:
-                    used.add(r.control_id)
-                    out.append((r.stratum, case, r.control_id, r.gap))
-                    break
         import pandas as pd
 
-        return pd.DataFrame(out, columns=["stratum", "case_id", "control_id", "gap"])
-
-    return near.groupBy("stratum").applyInPandas(match, f"stratum {cases.schema['stratum'].dataType.simpleString()}, case_id long, control_id long, gap double")
+        pdf = pdf.sort_values(["x", "id"])
+        pool = pdf[pdf["control"] == 1]
+        found = nearest_unused(pool["x"].to_numpy(), pool["id"].to_numpy(), [(r.x, r.id) for r in pdf[pdf["control"] == 0].sort_values(["h", "id"]).itertuples()], caliper)
+        return pd.DataFrame([(pdf["stratum"].iloc[0], *m) for m in found], columns=["stratum", "case_id", "control_id", "gap"])
+
+    return parted.groupBy("stratum", "segment").applyInPandas(match, f"stratum {cases.schema['stratum'].dataType.simpleString()}, case_id long, control_id long, gap double")
+
+
+def nearest_unused(x: np.ndarray, ids: np.ndarray, cases: list[tuple], caliper: float) -> list[tuple]:
+    """(case, control, gap): for each case in turn the nearest control that is left, within the caliper. Controls come
+    sorted by (x, id); those of one x are a shelf, taken from the front, and empty shelves are skipped at once."""
+    places, front = np.unique(x, return_index=True)
+    end = np.append(front[1:], len(x))
+    front, n = front.copy(), len(places)
+    left, right = list(range(n + 1)), list(range(n + 1))  # of shelf i: the next one not empty, from i on (left: 1-based)
+
+    def find(nxt: list[int], i: int) -> int:
+        root = i
+        while nxt[root] != root:
+            root = nxt[root]
+        while nxt[i] != root:
+            nxt[i], i = root, nxt[i]
+        return root
+
+    out = []
+    for at, case in cases:
+        i = int(np.searchsorted(places, at))
+        options = []
+        for shelf in (find(right, i), find(left, i) - 1):
+            if 0 <= shelf < n and (gap := abs(at - places[shelf])) <= caliper:
+                options.append((gap, ids[front[shelf]], shelf))
+        if options:
+            gap, control, shelf = min(options)
+            out.append((case, int(control), float(gap)))
+            front[shelf] += 1
+            if front[shelf] == end[shelf]:
+                right[shelf], left[shelf + 1] = shelf + 1, shelf
+    return out
 
 
 def greedy_decorrelated(candidates: DataFrame, correlations: DataFrame, most: float = 0.7) -> DataFrame:

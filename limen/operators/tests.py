@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limen.functions.numeric import student_two_sided
+from limen.operators.ranges import weighted_cut
 
 
 def welch(df: DataFrame, value: str, grp: str, a: str, b: str, *by: str) -> DataFrame:
@@ -104,6 +105,13 @@ def conformal_thresholds(df: DataFrame, label: str, nonconformity: str, alpha: f
     return r.where(F.col("_k") == k).select(label, F.col("_n").alias("n"), F.col(nonconformity).alias("threshold"))
 
 
+def weighted_conformal_thresholds(df: DataFrame, label: str, nonconformity: str, weight: str, alpha: float, tie: str) -> DataFrame:
+    """Per class the nonconformity at which the weights, in order, first reach 1 - alpha of their sum and one mean
+    weight more (the point at infinity, for the row to be predicted); the largest one where they do not. A class
+    without rows has no line: its threshold is 1 where sets are made."""
+    return weighted_cut(df, label, nonconformity, tie, weight, 1 - alpha, F.avg(weight))
+
+
 def em_prior(scores: DataFrame, source_prior: float, score: str = "s", tolerance: float = 1e-8, most: int = 1000) -> tuple[float, int]:
     """Class prior of the target by expectation-maximisation on posterior scores: a driver loop of one-row sums."""
     kept = scores.select(F.col(score).alias("s")).persist()

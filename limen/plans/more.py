@@ -9,11 +9,15 @@ from pyspark.sql.window import Window
 from limen.functions.numeric import hash_number, rounded
 from limen.operators import embedding as E
 from limen.operators import expression as X
+from limen.operators import latent as Z
+from limen.operators import learning as G
 from limen.operators import links as L
+from limen.operators import neighbours as N
+from limen.operators import tests as T
 from limen.operators.composition import indexed_donors
 from limen.plans import catalogue as K
 from limen.plans.catalogue import query, shown
-from limen.plans.domain import CELLS, COUNTS, GENES, cells, read
+from limen.plans.domain import CELLS, COUNTS, GENES, SCORES, cells, read, scores
 
 
 @query(f"""WITH {GENES}, {K._LINK}, t AS (SELECT chrom, count(*) FILTER (link) AS n, count(*) AS m FROM lk GROUP BY 1), w AS (SELECT *, sum(n) OVER () - n AS rn, sum(m - n) OVER () - (m - n) AS rm FROM t)
@@ -77,12 +81,12 @@ def knn_topk(spark, sf):
 
 def _knn(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return E.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv")), 5)
+    return N.nearest(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv")), 5)
 
 
 @query()
 def knn_groups_thinned(spark, sf):
-    return E.thinned_groups(_knn(spark, sf), 0.8)
+    return N.thinned_groups(_knn(spark, sf), 0.8)
 
 
 @query(f"""WITH {CELLS}, n AS (SELECT count(DISTINCT user_id) AS n FROM events), d AS (SELECT feature, count(*) AS df FROM ob GROUP BY 1)
@@ -95,7 +99,7 @@ def tfidf_log(spark, sf):
 @query()
 def lsi_components(spark, sf):
     n = read(spark, sf, "events").agg(F.countDistinct("user_id")).first()[0]
-    return shown(E.latent_components(E.tf_idf(cells(spark, sf), n), 5))
+    return shown(Z.latent_components(E.tf_idf(cells(spark, sf), n), 5))
 
 
 @query()
@@ -133,27 +137,49 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
 
 @query()
 def lodo_logreg(spark, sf):
-    """Leave one group (language) out: fitted on a sample of the others, standardised on them; every labelled row of
-    the group is scored.
+    """Leave one group (language) out: fitted on all labelled rows of the others, standardised on them; every labelled
+    row of the group is scored."""
+    return _left_out(_labelled(spark, sf))
 
-    The sample that trains is bounded: 5,000 labelled rows by hash. The weights have a row a group."""
+
+def _labelled(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "lang", F.ln(F.col("n_chars") + 1.0).alias("x0"), (F.regexp_count("text", F.lit("[*#$%&]")) / (F.col("n_chars") + 1.0)).alias("x1"))
-    rows = read(spark, sf, "labels").join(d, "doc_id").select("doc_id", "lang", "quality", "x0", "x1")
-    return _left_out(rows, 5000)
-
-
-def _left_out(rows, most):
-    """(doc_id, lang, y, p) of each of rows; at most ``most`` of them train. p is null where the others have one class
-    only or a feature is null."""
-    sample = rows.dropna(subset=["quality", "x0", "x1"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
-    fits = []
-    for lang in [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]:
-        train = sample[(sample["lang"] != lang) if lang is not None else sample["lang"].notna()]
-        if train["quality"].nunique() < 2:
-            continue
-        m, s = train[["x0", "x1"]].mean().to_numpy(), train[["x0", "x1"]].std().replace(0, 1).to_numpy()
-        w = logistic((train[["x0", "x1"]].to_numpy() - m) / s, train["quality"].to_numpy(float))
-        fits.append((lang, *map(float, (*w, *m, *s))))
-    table = rows.sparkSession.createDataFrame(fits, "_lang string, w0 double, w1 double, w2 double, m0 double, m1 double, s0 double, s1 double")
-    z = F.expr("w0 + w1 * ((x0 - m0) / s0) + w2 * ((x1 - m1) / s1)")
-    return rows.join(F.broadcast(table), F.col("lang").eqNullSafe(F.col("_lang")), "left").select("doc_id", "lang", F.col("quality").cast("int").alias("y"), F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
+    return read(spark, sf, "labels").join(d, "doc_id").select("doc_id", "lang", "quality", "x0", "x1")
+
+
+def _left_out(rows):
+    """(doc_id, lang, y, p) of each of rows. p is null where the others have one class only or a feature is null."""
+    fits = G.fit_logistic(rows, ["x0", "x1"], "quality", "lang", leave_out=True)
+    p = G.score_logistic(rows, fits, ["x0", "x1"], "lang")
+    return p.select("doc_id", "lang", F.col("quality").cast("int").alias("y"), F.round("p", 6).alias("p"))
+
+
+@query()
+def domain_ratio_fitted(spark, sf):
+    """Ratio of densities of one language's rows to all others', by a discriminator that is fitted on all of them."""
+    rows = _labelled(spark, sf)
+    w = G.domain_ratio(rows.where("lang = 'en'"), rows.where("lang <> 'en'"), ["x0", "x1"])
+    return w.select("doc_id", rounded("d").alias("d"), rounded("weight").alias("weight"))
+
+
+_WEIGHT = "1 + (doc_id % 7) / 4.0"
+
+
+@query(f"""WITH {SCORES}, a AS (SELECT y, doc_id, CASE WHEN y = 1 THEN 1 - s ELSE s END AS a, {_WEIGHT} AS w FROM sc),
+c AS (SELECT y, a, sum(w) OVER (PARTITION BY y ORDER BY a, doc_id ROWS UNBOUNDED PRECEDING) AS cw, sum(w) OVER (PARTITION BY y) + avg(w) OVER (PARTITION BY y) AS total, count(*) OVER (PARTITION BY y) AS n FROM a)
+SELECT y, n, round(coalesce(min(a) FILTER (cw >= (1 - 0.1) * total), max(a)), 6) AS threshold FROM c GROUP BY y, n""")
+def conformal_weighted(spark, sf):
+    """Thresholds by class at weights that each row has."""
+    s = scores(spark, sf).select("y", "doc_id", F.when(F.col("y") == 1, 1 - F.col("s")).otherwise(F.col("s")).alias("a"), F.expr(_WEIGHT).cast("double").alias("w"))
+    return shown(T.weighted_conformal_thresholds(s, "y", "a", "w", 0.1, "doc_id"))
+
+
+@query("""WITH c AS (SELECT vec_id, unnest(cast(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM c GROUP BY i),
+z AS (SELECT vec_id, list((x - m) / s ORDER BY i) AS v FROM c JOIN m USING (i) GROUP BY vec_id), d AS (SELECT a.vec_id AS seed, b.vec_id, sqrt(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(a.v, b.v)])) AS distance FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT seed, vec_id, round(distance, 5) AS distance, cast(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
+def knn_zscored(spark, sf):
+    """Nearest neighbours of a stated set of seeds, each dimension less its mean over its deviation."""
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    z = N.zscored(e, "v", 64)
+    near = N.nearest(z, z.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv")), 5)
+    return near.select("seed", "vec_id", rounded("distance", 5).alias("distance"), "rank")
