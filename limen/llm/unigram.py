@@ -123,6 +123,7 @@ class Unigram:
         if any(MARK in p[1:] and p.strip(MARK) for _, p, _ in plain):
             raise ValueError("a piece holds a marker inside a word")
         self.trie = DoubleArray([p.encode() for _, p, _ in plain], [i for i, _, _ in plain])
+        self.longest = max((len(p.encode()) for _, p, _ in plain), default=1)
         self.score = [s for _, s, _ in pieces]
         self.unknown = min((s for _, _, s in plain), default=0.0) - UNKNOWN
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
@@ -136,7 +137,7 @@ class Unigram:
         """Ids of the best path over a marked text. The trie is walked in place: most of the time goes here."""
         text = word.encode()
         n = len(text)
-        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        base, check, value, score, longest = self.trie.base, self.trie.check, self.trie.value, self.score, self.longest
         best = [NEVER] * (n + 1)
         back, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
@@ -147,7 +148,7 @@ class Unigram:
             lead = text[at]
             one = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             state, end, single = 0, at, False
-            for c in text[at:] if at else text:
+            for c in text[at : at + longest]:
                 to = base[state] + c
                 if check[to] != state:
                     break
