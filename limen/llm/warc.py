@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table.
 
 A payload is a stream of rows (record, chunk number, bytes) of bounded size; each row carries how many bytes and
-what digest the record has so far, so no step holds a whole record. In the archive each chunk is a record segment
+what digest the record has so far. The payload itself is a cell of the table that is written; beside it, writing and
+reading hold a few chunks. In the archive each chunk is a record segment
 (WARC 1.1, segmentation): the first has the record's own type, the others are of type continuation. A chunk ends
-inside any version line that a payload holds, so that line never occurs in a block and parts the records of an
-archive: Spark's own text reader then streams archives of any size from any store.
+inside any version line that a payload holds, and never in one that the line end behind a block would complete (nor
+does a header line, see target()), so that line parts the records of an archive: Spark's own text reader then streams
+archives of any size from any store.
 
 Archives are written by Spark's committed writer, gzipped, each file by one task, so a record's segments follow
 each other in one file and reading needs no shuffle.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from .common import ship, work_dir
 VERSION = b"WARC/1.1\r\n"
 #: Bytes of a chunk at most.
 CHUNK = 1 << 16
+#: Chunks that are written at once.
+HELD_CHUNKS = 16
 
 CHUNKS = "payload_bytes long, payload_digest string, last boolean, chunk_no int, record_type string, record_id string, refers_to string, data binary"
 
@@ -44,6 +49,8 @@ def chunks(payload: memoryview, most: int = CHUNK) -> Iterator[memoryview]:
         part = bytes(payload[at : min(end, at + most)])
         held = part.find(VERSION)
         stop = at + (held + len(VERSION) - 1 if held >= 0 else len(part))
+        if part[: stop - at].endswith(VERSION[:-2]):
+            stop -= 1  # the CR LF that follows a block would make it a version line
         yield payload[at:stop]
         at = stop
         if at >= end:
@@ -57,20 +64,28 @@ def write_archive(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
     def run(batches):
         import pyarrow as pa
 
-        from limen.llm.warc import segments
+        from limen.llm.warc import HELD_CHUNKS, segments
 
         for b in batches:
             for row in range(b.num_rows):
                 kind, name, url, refers, digest = (b.column(i)[row].as_py() for i in range(5))
                 payload = b.column(5)[row].as_buffer()
-                blocks = list(segments(kind, name, url, refers, digest, memoryview(payload) if payload is not None else memoryview(b""), chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+                blocks = segments(kind, name, url, refers, digest, memoryview(payload) if payload is not None else memoryview(b""), chunk)
+                while some := list(islice(blocks, HELD_CHUNKS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["block"])
 
     plain = records.select("record_type", "record_id", "url", "refers_to", "digest", F.coalesce("payload", F.lit(b"")).alias("payload"))
     # the line separator that the writer adds ends the record: CR LF CR LF
     plain.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def target(url: str) -> str:
+    """A url as a header's value: without line ends, and with its last character escaped where the line would end like
+    a version line."""
+    plain = " ".join(url.split())
+    return plain[:-1] + "%31" if plain.endswith("WARC/1.1") else plain
+
+
 def segments(kind: str, name: str, url: str | None, refers: str | None, digest: str, payload: memoryview, most: int) -> Iterator[bytes]:
     """The segment records of one record, without the CR LF CR LF after each."""
     seen, number = 0, 0
@@ -81,7 +96,7 @@ def segments(kind: str, name: str, url: str | None, refers: str | None, digest:
         head = [f"WARC-Type: {kind if number == 1 else 'continuation'}", f"WARC-Record-ID: <{name if number == 1 else f'{name}:{number}'}>", "WARC-Date: 1970-01-01T00:00:00Z"]
         if number == 1:
             head += [f"WARC-Payload-Digest: sha1:{digest}"]
-            head += [f"WARC-Target-URI: {' '.join(url.split())}"] if url else []
+            head += [f"WARC-Target-URI: {target(url)}"] if url else []
             head += [f"WARC-Refers-To: <{refers}>"] if refers else []
         else:
             head += [f"WARC-Segment-Origin-ID: <{name}>"]
