@@ -36,7 +36,9 @@ def correlation(x: str | Column, y: str | Column) -> Column:
 
 
 def erfc(c: str | Column) -> Column:
-    return F.reflect(F.lit("org.apache.commons.math3.special.Erf"), F.lit("erfc"), col(c).cast("double")).cast("double")
+    x = col(c).cast("double")
+    # the method takes no null
+    return F.when(x.isNotNull(), F.reflect(F.lit("org.apache.commons.math3.special.Erf"), F.lit("erfc"), F.coalesce(x, F.lit(0.0))).cast("double"))
 
 
 def normal_two_sided(z: str | Column) -> Column:

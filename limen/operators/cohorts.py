@@ -26,6 +26,31 @@ def kappa_of_cohorts(pairs: DataFrame, cohort: str) -> DataFrame:
     )
 
 
+def kappa_intervals(pairs: DataFrame, cohort: str, n_boot: int, seed: int = 0) -> DataFrame:
+    """Kappa of each cohort with its interval by donors of the cohort, drawn with replacement."""
+    per = pairs.groupBy(cohort, "donor").agg(F.sum(ratio() * ratio()).alias("ss"), F.count(F.lit(1)).alias("m"))
+    own = Window.partitionBy(cohort)  # donors of a study: few
+    placed = per.withColumns({"i": F.row_number().over(own.orderBy("donor")) - 1, "n": F.count(F.lit(1)).over(own)})
+    drawn = placed.select(cohort, "n", F.col("i").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    drawn = drawn.withColumn("i", (hash_number(F.lit(seed), cohort, "rep", "_draw") % F.col("n")).cast("int"))
+    k = drawn.join(placed.select(cohort, "i", "ss", "m"), [cohort, "i"]).groupBy(cohort, "rep").agg(F.sqrt(F.sum("ss") / F.sum("m")).alias("k"))
+    ci = k.groupBy(cohort).agg(F.percentile("k", 0.025).alias("lo"), F.percentile("k", 0.975).alias("hi"))
+    seen = per.groupBy(cohort).agg(F.sqrt(F.sum("ss") / F.sum("m")).alias("kappa"), F.sum("m").alias("n_pairs"), F.count(F.lit(1)).alias("n_donors"))
+    return seen.join(ci, cohort)
+
+
+def type_rms_interval(by_type: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
+    """by_type (celltype, kappa): the root mean square of the types' kappas and its interval by types drawn with
+    replacement. Every type counts alike, however many pairs it has."""
+    every = Window.partitionBy()  # a row a type
+    placed = by_type.select((F.row_number().over(Window.orderBy("celltype")) - 1).alias("i"), F.count(F.lit(1)).over(every).alias("n"), (F.col("kappa") * F.col("kappa")).alias("k2"))
+    drawn = placed.select("n", F.col("i").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    drawn = drawn.withColumn("i", (hash_number(F.lit(seed), "rep", "_draw") % F.col("n")).cast("int"))
+    k = drawn.join(F.broadcast(placed.select("i", "k2")), "i").groupBy("rep").agg(F.sqrt(F.avg("k2")).alias("k"))
+    ci = k.agg(F.percentile("k", 0.025).alias("lo"), F.percentile("k", 0.975).alias("hi"))
+    return placed.agg(F.sqrt(F.avg("k2")).alias("kappa_rms_of_types"), F.count(F.lit(1)).alias("n_types")).crossJoin(ci)  # one row each
+
+
 def exponent_difference(one: DataFrame, other: DataFrame, n_boot: int, seeds: tuple[int, int] = (0, 1)) -> DataFrame:
     """Exponent of one cohort minus that of the other, its interval and two-sided p by donors drawn independently."""
     sized = [d.withColumn("size", F.abs("z") + TINY) for d in (one, other)]

@@ -109,3 +109,8 @@ def partial_correlation(df: DataFrame, x: Column, y: Column, z: Column) -> DataF
     """Correlation of x and y with z held fixed, from the three plain ones."""
     r = df.agg(correlation(x, y).alias("xy"), correlation(x, z).alias("xz"), correlation(y, z).alias("yz"))
     return r.select(((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial_r"))
+
+
+def aggregate_counts(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """Sums of counts (cell, feature, value) over aggregates: members (aggregate, cell), a cell in any number of them."""
+    return members.join(counts, "cell").groupBy("aggregate", "feature").agg(F.sum("value").alias("count"))

@@ -123,6 +123,15 @@ def leave_one_out(tables: DataFrame, key: str) -> DataFrame:
     return t.select(key, F.ln(haldane(*[rest[x] for x in "abcd"])).alias("log_or_without"))
 
 
+def leave_one_out_summary(tables: DataFrame, key: str, worst: int = 3) -> DataFrame:
+    """One row: the log odds ratio of all tables, its range when one key is left out, and the keys that move it most."""
+    left = leave_one_out(tables, key)
+    whole = tables.agg(*[F.sum(x).alias(x) for x in "abcd"]).select(F.ln(haldane(*[F.col(x) for x in "abcd"])).alias("log_or"))
+    moved = left.crossJoin(F.broadcast(whole)).withColumn("_by", F.abs(F.col("log_or_without") - F.col("log_or")))  # one row
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("_by", 9)).alias("o"), F.col(key).alias("k")))), 1, worst)  # a row a key
+    return moved.agg(F.first("log_or").alias("log_or"), F.min("log_or_without").alias("low"), F.max("log_or_without").alias("high"), F.array_join(F.transform(top, lambda x: x["k"].cast("string")), ",").alias("worst"))
+
+
 def band_of(distance: Column, edges: list[int]) -> Column:
     """Index of the band that holds |distance|: left-closed, the last closed on both sides; null outside."""
     d = F.abs(distance)

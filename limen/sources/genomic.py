@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limen.sources.matrix_market import open_matrix
+from limen.sources.row_layout import numbered
 from limen.sources.scratch import written
 
 INTERVAL = r"^(.+?)[:-](\d+)-(\d+)$"
@@ -39,6 +40,12 @@ def read_matrix_market(spark: SparkSession, path: str, rows: int | None = None,
     return table, m.head.dims
 
 
+def read_dictionary(spark: SparkSession, path: str | list[str], schema: str, header: bool = False) -> DataFrame:
+    """A table of feature or barcode names with index, the place of each line from 0: the row or column of a matrix
+    that it names."""
+    return numbered(read_delimited(spark, path, schema, header=header))
+
+
 def read_gtf_genes(spark: SparkSession, path: str) -> DataFrame:
     """(gene_name, gene_id, chrom, tss, strand, gene_type) of gene lines; tss by strand."""
     t = read_delimited(spark, path, "chrom string, source string, kind string, start long, end long, score string, strand string, frame string, attributes string", header=False, comment="#").where("kind = 'gene'")

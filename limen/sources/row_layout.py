@@ -79,11 +79,12 @@ def take_columns(entries: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "index") -> DataFrame:
-    """df with gapless numbers from 0 in the order of its partitions: positions of a text table's lines.
-
-    df must give the same rows on every run, as files do; a row for each partition is broadcast."""
-    part, at = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
-    placed = df.select("*", part, at)
-    sizes = df.select(part).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    return placed.join(F.broadcast(shift), "_part").select(*[placed[c] for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name))
+    """df, just read from files, with gapless numbers from 0: the places of its rows by file name and within the file.
+
+    A row for each block that Spark reads is broadcast. df is read twice: the same files give the same rows."""
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    placed = df.select("*", *block, F.monotonically_increasing_id().alias("_at"))
+    sizes = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(shift), ["_file", "_start"]).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

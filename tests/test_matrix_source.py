@@ -5,8 +5,9 @@ import random
 
 import pytest
 
+from limen.sources.genomic import read_dictionary
 from limen.sources.matrix_market import Bytes, open_matrix, parse, write_matrix
-from limen.sources.row_layout import numbered, offsets, take_columns, write_rows
+from limen.sources.row_layout import offsets, take_columns, write_rows
 from limen.streaming.pseudobulk import bulk_by_batch, finish, matrix_bulk
 
 
@@ -170,13 +171,21 @@ def test_empty_layout_columns_and_numbers(spark, tmp_path):
     assert layout.entries.count() == layout.spans().count() == layout.between(0, 9).count() == 0
     df = spark.createDataFrame([(0, 5, 2), (1, 5, 0), (2, 6, 3)], "row long, col long, value long")
     assert take_columns(df, spark.createDataFrame([(5, 0)], "col long, new long")).collect() == [(0, 0, 2)]
-    path = tmp_path / "names.tsv"
-    path.write_text("".join(f"name{i}\n" for i in range(5000)))
+    assert sorted(map(tuple, offsets(df, 2).collect())) == [(0, 0, 1, 0), (1, 1, 1, 0), (2, 2, 1, 1)]
+
+
+def test_dictionary_keeps_places(spark, tmp_path):
+    names = [f"name{i}" for i in range(5000)]
+    (tmp_path / "one.tsv").write_text("".join(f"{n}\tpeak\n" for n in names))
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k, (a, b) in enumerate([(0, 10), (10, 3000), (3000, 3001), (3001, 5000)]):
+        (folder / f"part-{k}").write_text("".join(f"{n}\tpeak\n" for n in names[a:b]))
     spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
     try:
-        named = numbered(spark.read.text(str(path)))
-        assert named.rdd.getNumPartitions() > 1
-        assert {r.value: r["index"] for r in named.collect()} == {f"name{i}": i for i in range(5000)}
+        for path in (tmp_path / "one.tsv", folder):
+            named = read_dictionary(spark, str(path), "name string, kind string")
+            assert named.rdd.getNumPartitions() > 1
+            assert {r.name: r["index"] for r in named.collect()} == {n: i for i, n in enumerate(names)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted(map(tuple, offsets(df, 2).collect())) == [(0, 0, 1, 0), (1, 1, 1, 0), (2, 2, 1, 1)]

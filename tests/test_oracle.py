@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from limen.plans import added, matrices, more  # noqa: F401  register their queries
+from limen.plans import added, matrices, models, more, rest  # noqa: F401  register their queries
 from limen.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
