@@ -122,18 +122,20 @@ def line_slope(strata: DataFrame, n_boot: int) -> DataFrame:
     return point.crossJoin(drawn.agg(F.percentile("b", 0.025).alias("lo"), F.percentile("b", 0.975).alias("hi")))  # one row each
 
 
-def weighted_ladder(points: DataFrame, target: float) -> DataFrame:
-    """points (n, log_or, se): line of log_or on ln n with weights 1 / se^2, and ln n where it meets 1 and the target."""
-    t = points.select(F.ln("n").alias("x"), F.col("log_or").alias("y"), (1 / (F.col("se") * F.col("se"))).alias("w"))
+def weighted_ladder(points: DataFrame, target: float, least_n: float = 0) -> DataFrame:
+    """points (n, log_or, se): line of log_or on ln n with weights 1 / se^2, and ln n where it meets 1 and the target;
+    least_n: where the rising arm begins, rungs below it are left out."""
+    t = points.where(F.col("n") >= least_n).select(F.ln("n").alias("x"), F.col("log_or").alias("y"), (1 / (F.col("se") * F.col("se"))).alias("w"))
     s = t.agg(*[F.sum(e).alias(k) for k, e in (("w", F.col("w")), ("x", F.col("w") * F.col("x")), ("y", F.col("w") * F.col("y")), ("xx", F.col("w") * F.col("x") ** 2), ("xy", F.col("w") * F.col("x") * F.col("y")))], correlation("x", "y").alias("r"))
     s = s.withColumn("b", F.expr("(w * xy - x * y) / nullif(w * xx - x * x, 0)")).withColumn("a", F.expr("(y - b * x) / w"))
     return s.select("a", "b", "r", (-F.col("a") / F.col("b")).alias("ln_n_at_1"), ((math.log(target) - F.col("a")) / F.col("b")).alias("ln_n_at_target"))
 
 
-def link_summary(found: DataFrame) -> DataFrame:
-    """found (n, odds_ratio, lo, hi): how many intervals exclude one, and how ln odds go with ln n."""
-    fine = (F.col("n") > 0) & (F.col("odds_ratio") > 0)
-    x, y = F.when(fine, F.ln("n")), F.when(fine, F.ln("odds_ratio"))
+def link_summary(found: DataFrame, by: str = "n") -> DataFrame:
+    """found (n or another measure, odds_ratio, lo, hi): how many intervals exclude one, and how ln odds go with the
+    logarithm of n, or of depth."""
+    fine = (F.col(by) > 0) & (F.col("odds_ratio") > 0)
+    x, y = F.when(fine, F.ln(by)), F.when(fine, F.ln("odds_ratio"))
     t = found.select("lo", "hi", x.alias("x"), y.alias("y"))
     return t.agg(F.count(F.lit(1)).alias("configs"), F.count_if(F.col("lo") > 1).alias("enriched"), F.count_if(F.col("hi") < 1).alias("depleted"), F.regr_slope("y", "x").alias("slope"), correlation("x", "y").alias("r"))
 

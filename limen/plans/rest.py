@@ -10,8 +10,8 @@ from limen.operators import composition as C
 from limen.operators import expression as X
 from limen.operators import features as Y
 from limen.operators import links as L
+from limen.plans import added, more
 from limen.plans import catalogue as K
-from limen.plans import more
 from limen.plans.catalogue import query, shown
 from limen.plans.domain import GENES, PAIRS, WINDOW, genes, pairs, peaks, read
 from limen.sources.genomic import read_dictionary
@@ -78,6 +78,26 @@ def jackknife_summary(spark, sf):
     return shown(L.leave_one_out_summary(t, "chrom"))
 
 
+_RISING = K.ORACLES["ladder_weighted_fit"].replace("FROM m WHERE R > 0 AND S > 0", "FROM m WHERE R > 0 AND S > 0 AND rung >= 200")
+
+
+@query(_RISING)
+def ladder_rising_fit(spark, sf):
+    """The ladder's line from the rung on where it rises."""
+    t = H.weighted_ladder(L.mantel_haenszel(added._ladder(spark, sf), "n"), 2.45, 200)
+    return t.select(*[rounded(c, 4).alias(c) for c in ("a", "b", "r")], *[rounded(c, 3).alias(c) for c in ("ln_n_at_1", "ln_n_at_target")])
+
+
+@query(f"""WITH {GENES}, {K._LINK}, {K._STR}, m AS ({K._MH.format(k='chrom')}), e AS (SELECT chrom, ln(R / S) AS l, {K._SE} FROM m WHERE R > 0 AND S > 0),
+f AS (SELECT l, l - 1.96 * se AS lo, l + 1.96 * se AS hi, ln(depth) AS x FROM e JOIN (SELECT event_type AS chrom, count(*) / count(DISTINCT user_id) AS depth FROM events GROUP BY 1) USING (chrom))
+SELECT count(*) AS configs, count(*) FILTER (exp(lo) > 1) AS enriched, count(*) FILTER (exp(hi) < 1) AS depleted, round(regr_slope(l, x), 4) AS slope, round(corr(x, l), 4) AS r FROM f""")
+def link_summary_depth(spark, sf):
+    """How ln odds go with depth: events for each user."""
+    depth = read(spark, sf, "events").groupBy(F.col("event_type").alias("chrom")).agg((F.count(F.lit(1)) / F.countDistinct("user_id")).alias("depth"))
+    s = H.link_summary(L.mantel_haenszel(K._strata(spark, sf), "chrom").join(depth, "chrom"), "depth")
+    return s.select("configs", "enriched", "depleted", rounded("slope", 4).alias("slope"), rounded("r", 4).alias("r"))
+
+
 @query()
 def paired_slope_null(spark, sf):
     """Slope of the observed floor in n_eff less that of its matched null, on the same donors, from four thresholds."""
