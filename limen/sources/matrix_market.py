@@ -44,30 +44,37 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Bytes:
-    """The bytes of one file, or of a folder's files one after the other, the one with the banner first."""
+    """The bytes of one file, or of a folder's files one after the other, the one with the banner first.
 
-    def __init__(self, path: str):
+    files: their names and sizes where they are known, as tasks know them from the driver: nothing is listed again."""
+
+    def __init__(self, path: str, files: list[tuple[str, int]] | None = None):
         from pyarrow import fs
 
         self.store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        self.files = files or self._found(path, at)
+        self.gzipped = self.files[0][0].endswith(".gz")
+        if self.gzipped and len(self.files) > 1:
+            raise ValueError(f"{path}: a gzipped matrix is one file")
+        self.starts = [0]
+        for _, size in self.files:
+            self.starts.append(self.starts[-1] + size)
+        self.size = self.starts[-1]
+
+    def _found(self, path: str, at: str) -> list[tuple[str, int]]:
+        from pyarrow import fs
+
         info = self.store.get_file_info(at)
         if info.type == fs.FileType.Directory:
             found = [f for f in self.store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and f.base_name[0] not in "_."]
             first = [f for f in found if f.size and self._head(f.path, 14) == b"%%MatrixMarket"]
             if len(first) != 1:
                 raise ValueError(f"{path}: {len(first)} of {len(found)} files begin with a MatrixMarket banner")
-            self.files = first + sorted((f for f in found if f.path != first[0].path), key=lambda f: f.path)
-        elif info.type == fs.FileType.File:
-            self.files = [info]
-        else:
-            raise ValueError(f"{path}: no such file")
-        self.gzipped = self.files[0].path.endswith(".gz")
-        if self.gzipped and len(self.files) > 1:
-            raise ValueError(f"{path}: a gzipped matrix is one file")
-        self.starts = [0]
-        for f in self.files:
-            self.starts.append(self.starts[-1] + f.size)
-        self.size = self.starts[-1]
+            rest = sorted((f for f in found if f.path != first[0].path), key=lambda f: f.path)
+            return [(f.path, f.size) for f in first + rest]
+        if info.type == fs.FileType.File:
+            return [(info.path, info.size)]
+        raise ValueError(f"{path}: no such file")
 
     def _head(self, path: str, n: int) -> bytes:
         with self.store.open_input_stream(path, compression=None) as f:
@@ -77,12 +84,12 @@ class Bytes:
         """(position, whole lines) of the lines that begin in [start, end)."""
         if self.gzipped:
             if start == 0:
-                with self.store.open_input_stream(self.files[0].path, compression=None) as raw, gzip.open(raw) as f:
+                with self.store.open_input_stream(self.files[0][0], compression=None) as raw, gzip.open(raw) as f:
                     yield from self._lines(f.read, 0, sys.maxsize, 0, size)
             return
-        for f, low, high in zip(self.files, self.starts, self.starts[1:]):
-            if low < end and high > start and f.size:
-                with self.store.open_input_file(f.path) as source:
+        for (name, size_of), low, high in zip(self.files, self.starts, self.starts[1:]):
+            if low < end and high > start and size_of:
+                with self.store.open_input_file(name) as source:
                     first = max(start - low, 0)
                     # the byte before tells whether a line begins here
                     source.seek(max(first - 1, 0))
@@ -195,7 +202,7 @@ class _Reader:
         self.split = int(options.get("splitBytes", SPLIT))
         source = Bytes(self.path)
         self.head = read_head(source, self.path)
-        self.size, self.gzipped = source.size, source.gzipped
+        self.size, self.gzipped, self.files = source.size, source.gzipped, source.files
 
     def ranges(self, start: int, end: int) -> list[Range]:
         return [Range(at, min(at + self.split, end)) for at in range(start, end, self.split)]
@@ -203,7 +210,7 @@ class _Reader:
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         h = self.head
         kind = pa.float64() if h.field == "real" else pa.int64()
-        for at, lines in Bytes(self.path).blocks(partition.start, partition.end):
+        for at, lines in Bytes(self.path, self.files).blocks(partition.start, partition.end):
             if self.gzipped and at < h.body:  # the head stands in front of the first lines
                 lines = lines[h.body - at :]
             try:
