@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from limen.functions.numeric import rounded
@@ -16,12 +17,6 @@ from limen.plans.domain import COUNTS, GENES, read
 N_BOOT = 2000
 
 
-def _digits(c: str, digits: int = 6):
-    """c with so many significant digits: replicates of few donors range over many powers of ten."""
-    e = F.floor(F.log10(F.abs(F.col(c)))) - (digits - 1)
-    return F.when(F.col(c) == 0, 0.0).otherwise(F.round(F.col(c) / F.pow(F.lit(10.0), e)) * F.pow(F.lit(10.0), e)).alias(c)
-
-
 # --- calibration by donors ---------------------------------------------------------------------------------------
 
 _CURVE = f"""WITH {COUNTS}, obs AS (SELECT donor, n_eff, ln(n_eff) - avg(ln(n_eff)) OVER () AS x, ln(floor) AS y, avg(ln(n_eff)) OVER () AS centre FROM fl),
@@ -35,18 +30,20 @@ wh AS (SELECT exp(avg(y) - regr_slope(y, x) * any_value(centre)) AS a FROM obs),
 cv AS (SELECT k AS n_donors, count(b) AS n_fits, median(a) AS coef_median, quantile_cont(a, 0.025) AS coef_lo, quantile_cont(a, 0.975) AS coef_hi,
  median(b) AS exponent_median, quantile_cont(b, 0.025) AS exponent_lo, quantile_cont(b, 0.975) AS exponent_hi FROM ft GROUP BY k HAVING count(b) >= 50),
 cc AS (SELECT *, (coef_hi - coef_lo) / 2 / wh.a AS coef_rel_halfwidth FROM cv, wh)"""
-_COLUMNS = ["coef_median", "coef_lo", "coef_hi", "exponent_median", "exponent_lo", "exponent_hi", "coef_rel_halfwidth"]
-_ROUND = ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE round({c} / power(10, floor(log10(abs({c}))) - 5)) * power(10, floor(log10(abs({c}))) - 5) END AS {c}" for c in _COLUMNS)
+#: Coefficients of few donors range over many powers of ten: their logarithms are shown.
+_LOGS = ["coef_median", "coef_lo", "coef_hi", "coef_rel_halfwidth"]
+_PLAIN = ["exponent_median", "exponent_lo", "exponent_hi"]
+_SHOWN = ", ".join([f"round(ln({c}), 5) AS ln_{c}" for c in _LOGS] + [f"round({c}, 5) AS {c}" for c in _PLAIN])
 
 
 def _curve(spark, sf):
     return R.calibration_curve(K._floors(spark, sf), N_BOOT)
 
 
-@query(f"{_CURVE} SELECT cast(n_donors AS BIGINT) AS n_donors, n_fits, {_ROUND} FROM cc")
+@query(f"{_CURVE} SELECT cast(n_donors AS BIGINT) AS n_donors, n_fits, {_SHOWN} FROM cc")
 def calibration_requirement(spark, sf):
     """Every number of donors, 2,000 replicates."""
-    return _curve(spark, sf).select(F.col("n_donors").cast("long").alias("n_donors"), "n_fits", *[_digits(c) for c in _COLUMNS])
+    return _curve(spark, sf).select(F.col("n_donors").cast("long").alias("n_donors"), "n_fits", *[rounded(F.ln(c), 5).alias(f"ln_{c}") for c in _LOGS], *[rounded(c, 5).alias(c) for c in _PLAIN])
 
 
 @query(f"{_CURVE} SELECT tolerance, cast(min(n_donors) FILTER (coef_rel_halfwidth <= tolerance) AS BIGINT) AS least_donors FROM cc, (VALUES (0.1::DOUBLE), (0.2), (0.3)) t(tolerance) GROUP BY 1")
@@ -72,13 +69,14 @@ us AS (SELECT *, ln(n * p / (1 - p)) AS x, ln(k2 - 1) AS y, sqrt(k2) AS k, sqrt(
 
 @query(f"""WITH {_TYPES} SELECT round(any_value(g0) FILTER (rep = -1), 5) AS gamma, round(quantile_cont(g0, 0.025) FILTER (rep >= 0), 5) AS gamma_lo, round(quantile_cont(g0, 0.975) FILTER (rep >= 0), 5) AS gamma_hi,
 round(any_value(g1) FILTER (rep = -1), 5) AS gamma_adj_class, round(quantile_cont(g1, 0.025) FILTER (rep >= 0), 5) AS gamma_adj_class_lo, round(quantile_cont(g1, 0.975) FILTER (rep >= 0), 5) AS gamma_adj_class_hi,
-(SELECT count(*) FROM d) AS n_pairs, (SELECT count(*) FROM ty) AS n_celltypes, u.* FROM g, (SELECT count(*) AS n_celltypes_used, CASE WHEN count(*) >= 4 THEN round(regr_slope(y, x), 5) END AS model_slope, CASE WHEN count(*) >= 4 THEN round(exp(regr_intercept(y, x) / 2), 5) END AS c_implied,
+(SELECT count(*) FROM d) AS n_pairs, (SELECT count(*) FROM ty) AS n_celltypes, u.* FROM g, (SELECT count(*) AS n_celltypes_used, CASE WHEN count(*) >= 4 THEN round(regr_slope(y, x), 5) END AS model_slope, CASE WHEN count(*) >= 4 THEN round(regr_intercept(y, x) / 2, 5) END AS ln_c_implied,
 round(median(c), 5) AS c_median, round(max(k) / min(k), 5) AS kappa_spread, round(max(c) / min(c), 5) AS c_spread, round(stddev_samp(ln(k)), 5) AS sd_log_kappa, round(stddev_samp(ln(c)), 5) AS sd_log_c FROM us) u GROUP BY ALL""")
 def abundance_scaling(spark, sf):
     """Exponents of kappa in abundance, alone and beside class dummies, with donor intervals of 2,000 replicates."""
     li = read(spark, sf, "lineitem")
     p = C.weighted_pairs(C.replicate_counts(li, F.col("l_suppkey") % 40, F.concat_ws("-", "l_returnflag", "l_linenumber"), F.col("l_orderkey") % 2))
     found = R.abundance_scaling(p.withColumn("cls", F.substring("celltype", 1, 1)), "cls", N_BOOT)
+    found["ln_c_implied"] = np.log(found.pop("c_implied"))
     counted = {c: int(v) for c, v in found.items() if c.startswith("n_")}
     measured = {c: None if v != v else round(float(v), 5) + 0.0 for c, v in found.items() if c not in counted}
     schema = ", ".join([f"{c} long" for c in counted] + [f"{c} double" for c in measured])
