@@ -98,8 +98,7 @@ SELECT tb.chrom, round((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 6) AS od
 @query(_BINOM)
 def odds_ratio_binomial(spark, sf):
     """Odds ratios with intervals of 2,000 binomial draws."""
-    side = lambda link, near: F.count_if((F.col("link") if link else ~F.col("link")) & (F.col("prox") if near else ~F.col("prox")))
-    t = K._links(spark, sf).groupBy("chrom").agg(side(True, True).alias("a"), side(True, False).alias("b"), side(False, True).alias("c"), side(False, False).alias("d"))
+    t = K._links(spark, sf).groupBy("chrom").agg(*K._table())
     return shown(E.odds_ratio_intervals(t, "chrom", N_BOOT).select("chrom", "odds_ratio", "lo", "hi"))
 
 

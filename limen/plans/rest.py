@@ -10,6 +10,7 @@ from limen.operators import composition as C
 from limen.operators import expression as X
 from limen.operators import features as Y
 from limen.operators import links as L
+from limen.operators import pairs as P
 from limen.plans import added, more
 from limen.plans import catalogue as K
 from limen.plans.catalogue import query, shown
@@ -45,8 +46,8 @@ def aggregate_membership_sum(spark, sf):
 @query(f"WITH {GENES} SELECT gene, count(*) AS hits FROM bd GROUP BY 1 HAVING count(*) >= 2")
 def band_genes_tested(spark, sf):
     """Genes with two peaks or more in their window."""
-    hits = L.band_join(genes(spark, sf), peaks(spark, sf).drop("user_id"), WINDOW)
-    return hits.groupBy("gene").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 2")
+    hits = P.near_counts(genes(spark, sf), peaks(spark, sf), WINDOW, [(-WINDOW, True, WINDOW, False)], "gene")
+    return hits.groupBy("gene").agg(F.sum(F.col("near")[0]).alias("hits")).where("hits >= 2")
 
 
 @query(f"""WITH {PAIRS}, per AS (SELECT donor % 4 AS cohort, donor, sum(z * z / (2 / n_eff)) AS ss, count(*) AS m, row_number() OVER (PARTITION BY donor % 4 ORDER BY donor) - 1 AS i, count(*) OVER (PARTITION BY donor % 4) AS n FROM pz GROUP BY 1, 2),
@@ -73,8 +74,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY round(abs(x - log_or), 9) DESC, chro
 SELECT round(any_value(log_or), 6) AS log_or, round(min(x), 6) AS low, round(max(x), 6) AS high, string_agg(chrom, ',' ORDER BY k) FILTER (k <= 3) AS worst FROM r""")
 def jackknife_summary(spark, sf):
     """Range of the log odds ratio when a chromosome is left out, and the three that move it most."""
-    side = lambda link, near: F.count_if((F.col("link") if link else ~F.col("link")) & (F.col("prox") if near else ~F.col("prox")))
-    t = K._links(spark, sf).groupBy("chrom").agg(side(True, True).alias("a"), side(True, False).alias("b"), side(False, True).alias("c"), side(False, False).alias("d"))
+    t = K._links(spark, sf).groupBy("chrom").agg(*K._table())
     return shown(L.leave_one_out_summary(t, "chrom"))
 
 
