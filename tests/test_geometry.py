@@ -130,3 +130,20 @@ def test_one_stratum_is_several_tasks(spark):
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "segment" in plan
     assert sorted((r.case_id, r.control_id) for r in got.collect()) == [(i, i + 1) for i in range(0, 200, 2)]
+
+
+@pytest.mark.parametrize("asked", [N.ASKED, 3])
+def test_neighbours_of_a_crowd(spark, monkeypatch, asked):
+    """Equal vectors tie to the smaller id, seeds come in parts, and no pair of a seed and a row is a row of a join."""
+    monkeypatch.setattr(N, "ASKED", asked)
+    v = np.concatenate([np.ones((150, 3)), np.random.default_rng(5).integers(-2, 3, (90, 3)) + 0.25])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    seeds = rows.where("vec_id % 16 = 0").selectExpr("vec_id AS seed", "v AS sv")
+    found = N.nearest(rows, seeds, 6, pivots=9, piece=40)
+    want = plain_nearest(list(range(len(v))), v, range(0, len(v), 16), 6)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.seed, r["rank"])):
+        assert r.distance == pytest.approx(float(np.sqrt(((v[r.vec_id] - v[r.seed]) ** 2).sum())))
+        got.setdefault(r.seed, []).append(r.vec_id)
+    assert got == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
