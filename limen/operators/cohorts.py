@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from limen.functions.numeric import correlation, hash_number
 from limen.operators import expression as X
 from limen.operators import tests as T
-from limen.operators.composition import indexed_donors, multiplicities, ratio, rms
+from limen.operators.composition import ratio, resampled_sums, rms
 
 #: Added to |z| before its logarithm: pairs without any difference stay.
 TINY = 1e-12
@@ -29,11 +29,7 @@ def kappa_of_cohorts(pairs: DataFrame, cohort: str) -> DataFrame:
 def kappa_intervals(pairs: DataFrame, cohort: str, n_boot: int, seed: int = 0) -> DataFrame:
     """Kappa of each cohort with its interval by donors of the cohort, drawn with replacement."""
     per = pairs.groupBy(cohort, "donor").agg(F.sum(ratio() * ratio()).alias("ss"), F.count(F.lit(1)).alias("m"))
-    own = Window.partitionBy(cohort)  # donors of a study: few
-    placed = per.withColumns({"i": F.row_number().over(own.orderBy("donor")) - 1, "n": F.count(F.lit(1)).over(own)})
-    drawn = placed.select(cohort, "n", F.col("i").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    drawn = drawn.withColumn("i", (hash_number(F.lit(seed), cohort, "rep", "_draw") % F.col("n")).cast("int"))
-    k = drawn.join(placed.select(cohort, "i", "ss", "m"), [cohort, "i"]).groupBy(cohort, "rep").agg(F.sqrt(F.sum("ss") / F.sum("m")).alias("k"))
+    k = resampled_sums(per, n_boot, seed, cohort).select(cohort, "rep", F.sqrt(F.col("ss") / F.col("m")).alias("k"))
     ci = k.groupBy(cohort).agg(F.percentile("k", 0.025).alias("lo"), F.percentile("k", 0.975).alias("hi"))
     seen = per.groupBy(cohort).agg(F.sqrt(F.sum("ss") / F.sum("m")).alias("kappa"), F.sum("m").alias("n_pairs"), F.count(F.lit(1)).alias("n_donors"))
     return seen.join(ci, cohort)
@@ -67,10 +63,10 @@ def paired_slopes(df: DataFrame, y: str, z: str, n_boot: int, x: str = "n_eff",
     """(rep, difference): slope of ln y minus slope of ln z, both on the same resample of donors."""
     a, b, c = F.ln(x), F.ln(y), F.ln(z)
     per = df.groupBy("donor").agg(F.count(F.lit(1)).alias("m"), *[F.sum(e).alias(k) for k, e in zip(_SUMS, (a, b, c, a * a, a * b, a * c))])
-    s = {k: F.sum(F.col("w") * F.col(k)) for k in ("m", *_SUMS)}
+    s = {k: F.col(k) for k in ("m", *_SUMS)}
     below = F.nullif(s["m"] * s["sxx"] - s["sx"] * s["sx"], F.lit(0.0))
     slope = lambda side: (s["m"] * s["sx" + side] - s["sx"] * s["s" + side]) / below
-    return multiplicities(indexed_donors(per), n_boot, seed).join(per, "donor").groupBy("rep").agg((slope("y") - slope("z")).alias("difference"))
+    return resampled_sums(per, n_boot, seed).select("rep", (slope("y") - slope("z")).alias("difference"))
 
 
 def abundance_model(types: DataFrame, cls: Column) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from limen.functions.hashing import CHUNK, Joined
 from limen.functions.numeric import correlation, harmonic_n, hash_number
+from limen.operators.ranges import dealt, running_total
+
+#: Of a bootstrap: donors that a task holds, draws that it makes, about, and the most tasks that a donor is sent to.
+BLOCK, DRAWS, SHARES = 1 << 18, 10_000_000, 64
+
 
 def by_donor():
     return Window.partitionBy("donor")
@@ -101,11 +109,53 @@ def indexed_donors(rows: DataFrame) -> DataFrame:
     return d.select("donor", (F.row_number().over(Window.orderBy("donor")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
 
 
+def resampled_sums(per: DataFrame, n_boot: int, seed: int = 0, by: str | None = None) -> DataFrame:
+    """([by], rep, sums..): the sums of per's statistics (all columns but by and donor) over the donors that each
+    replicate draws, as many as there are, by portable hash numbers of seed, [by,] replicate and draw.
+
+    Donors are placed by ranges, then a task takes a block of them and some replicates, draws the places in arrays and
+    adds up those in its block: no draw is a row. Blocks and replicates of a task are bounded, and a donor is sent to
+    SHARES tasks at most."""
+    own = [by] if by else []
+    stats = [c for c in per.columns if c not in ("donor", *own)]
+    placed = running_total(dealt(per, own, ["donor"], "donors"), own, ["donor"], F.lit(1), "_at")
+    sizes = per.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))  # a row a cohort
+    placed = placed.join(F.broadcast(sizes), placed[by].eqNullSafe(sizes[by])).drop(sizes[by]) if by else placed.crossJoin(F.broadcast(sizes))
+    i, shares = F.col("_at") - 1, F.least(F.lit(SHARES), F.ceil(F.col("_n") * n_boot / DRAWS))
+    t = placed.select(*own, i.alias("i"), "_n", shares.alias("_of"), F.floor(i / BLOCK).alias("_block"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in stats])
+    t = t.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+
+    def draw(key, table):
+        n, of = table["_n"][0].as_py(), table["_of"][0].as_py()
+        share, block = key[-2].as_py(), key[-1].as_py()
+        own_key = [key[0].as_py()] if by else []
+        prefix = "|".join(str(x) for x in (seed, *own_key) if x is not None)
+        values = np.zeros((min(BLOCK, n - block * BLOCK), len(stats)))
+        values[table["i"].to_numpy() - block * BLOCK] = np.column_stack([table[c].to_numpy() for c in stats])
+        reps = range(share, n_boot, of)
+        sums = np.zeros((len(reps), len(stats)))
+        for start in range(0, n, CHUNK):
+            tails = [str(x).encode() for x in range(start, min(start + CHUNK, n))]
+            for size in sorted({len(x) for x in tails}):
+                part = [x for x in tails if len(x) == size]
+                places = np.arange(len(part))
+                for k, rep in enumerate(reps):
+                    at = Joined([f"{prefix}|{rep}|".encode()], part).numbers(np.zeros(len(part), np.intp), places).astype(np.int64) % n - block * BLOCK
+                    sums[k] += values[at[(at >= 0) & (at < len(values))]].sum(axis=0)
+        out = [pa.array(own_key * len(reps), key[0].type)] if by else []
+        return pa.Table.from_arrays([*out, pa.array(list(reps), pa.int64()), *map(pa.array, sums.T)], [*own, "rep", *stats])
+
+    schema = ", ".join([*[f"{c} {per.schema[c].dataType.simpleString()}" for c in own], "rep long", *[f"{c} double" for c in stats]])
+    keys = [*own, "_share", "_block"]
+    count = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = t.repartition(count, *keys).groupBy(*keys).applyInArrow(draw, schema)
+    return drawn.groupBy(*own, "rep").agg(*[F.sum(c).alias(c) for c in stats])
+
+
 def kappa_bootstrap(pairs: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """(rep, kappa) of donor-clustered resamples."""
     per = pairs.groupBy("donor").agg(F.sum(ratio() * ratio()).alias("ss"), F.count(F.lit(1)).alias("m"))
-    drawn = multiplicities(indexed_donors(per), n_boot, seed).join(per, "donor")
-    return drawn.groupBy("rep").agg(F.sqrt(F.sum(F.col("w") * F.col("ss")) / F.sum(F.col("w") * F.col("m"))).alias("kappa"))
+    return resampled_sums(per, n_boot, seed).select("rep", F.sqrt(F.col("ss") / F.col("m")).alias("kappa"))
 
 
 def contrast_vs_floor(shares: DataFrame, kappa_value: float, z: float = 1.96) -> DataFrame:

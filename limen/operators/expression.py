@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limen.functions.numeric import correlation, harmonic_n
-from limen.operators.composition import indexed_donors, multiplicities
+from limen.operators.composition import resampled_sums
 
 
 def pseudobulk(rows: DataFrame, groups: list[str], feature: str = "feature", value: str = "value") -> DataFrame:
@@ -94,15 +94,11 @@ def slope_sums(df: DataFrame, x: str = "n_eff", y: str = "floor") -> DataFrame:
     return df.groupBy("donor").agg(F.count(F.lit(1)).alias("m"), F.sum(lx).alias("sx"), F.sum(ly).alias("sy"), F.sum(lx * lx).alias("sxx"), F.sum(lx * ly).alias("sxy"))
 
 
-def _slope() -> Column:
-    s = {c: F.sum(F.col("w") * F.col(c)) for c in ("m", "sx", "sy", "sxx", "sxy")}
-    return (s["m"] * s["sxy"] - s["sx"] * s["sy"]) / F.nullif(s["m"] * s["sxx"] - s["sx"] * s["sx"], F.lit(0.0))
-
-
 def slope_bootstrap(df: DataFrame, n_boot: int, seed: int = 0, x: str = "n_eff", y: str = "floor") -> DataFrame:
     """(rep, b) of donor-clustered resamples."""
     per = slope_sums(df, x, y)
-    return multiplicities(indexed_donors(per), n_boot, seed).join(per, "donor").groupBy("rep").agg(_slope().alias("b"))
+    below = F.nullif(F.col("m") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
+    return resampled_sums(per, n_boot, seed).select("rep", ((F.col("m") * F.col("sxy") - F.col("sx") * F.col("sy")) / below).alias("b"))
 
 
 def partial_correlation(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:
