@@ -1,6 +1,9 @@
 """Pairs of genes and peaks counted inside tiles: against all pairs, one by one."""
 
 import hashlib
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -92,3 +95,14 @@ def test_pairs_stay_in_tiles(spark, query):
     """Pairs are met by arrays in a tile (before: a join with a row for each)."""
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "mid" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_executors_need_no_copy():
+    """What tasks are given names no module of this package."""
+    from pyspark import cloudpickle
+
+    from limen.functions import hashing
+
+    for f in (P._met, hashing.Joined):
+        code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
+        subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(f), cwd="/", env={"PATH": os.environ["PATH"]}, check=True)
