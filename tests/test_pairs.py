@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limen.functions.hashing import Joined
+from limen.functions.hashing import Crossed, Joined
 from limen.operators import pairs as P
 from limen.plans import added, catalogue as K, rest
 
@@ -43,6 +43,19 @@ def test_hash_numbers():
         assert Joined(heads, tails).numbers(i, j).tolist() == [bits((heads[a] + tails[b]).decode()) for a, b in zip(i, j)]
 
 
+def test_hash_numbers_of_blocks():
+    """Words and steps that one side decides, words that both share, and keys longer than a block."""
+    for head, tail in ((3, 3), (4, 5), (13, 7), (0, 4), (14, 0), (50, 5), (50, 6)):
+        heads, tails = [bytes([97 + k]) * head for k in range(3)], [bytes([48 + k]) * tail for k in range(5)]
+        got = Crossed(heads, tails).numbers(1, 3, 1, 5, np.empty((6, 64), np.uint32))
+        assert got.tolist() == [[bits((h + t).decode()) for t in tails[1:]] for h in heads[1:]]
+
+
+def test_counts_in_small_blocks(tables, monkeypatch):
+    monkeypatch.setattr(P, "ROOM", 40)
+    test_counts(tables, monkeypatch, (P.GENES, P.PEAKS))
+
+
 @pytest.mark.parametrize("sizes", [(P.GENES, P.PEAKS), (7, 11)])
 def test_counts(tables, monkeypatch, sizes):
     genes, peaks, g, p = tables
