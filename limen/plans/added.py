@@ -14,6 +14,7 @@ from limen.operators import pairs as P
 from limen.plans import catalogue as K
 from limen.plans.catalogue import query, shown
 from limen.plans.domain import CELLS, COUNTS, GENES, PAIRS, SCORES, WINDOW, cells, counts, genes, pairs, peaks, read, scores
+from limen.sources.scratch import written
 
 N_BOOT = 1000
 
@@ -120,7 +121,7 @@ p AS (SELECT n, ln(sum(r) / sum(s)) AS l FROM e GROUP BY 1), pt AS (SELECT regr_
 dr AS (SELECT n, rep, {_hash("rep", "'|'", "n", "'|'", "i")} % k AS i FROM e, range({N_BOOT}) t(rep)), q AS (SELECT rep, n, ln(sum(r) / sum(s)) AS l FROM dr JOIN e USING (n, i) GROUP BY 1, 2),
 b AS (SELECT regr_slope(l, ln(n)) AS b FROM q GROUP BY rep) SELECT round(slope, 5) AS slope, points, round(lo, 5) AS lo, round(hi, 5) AS hi FROM pt, (SELECT quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM b)""")
 def line_slope_seeds(spark, sf):
-    t = H.line_slope(_ladder(spark, sf), N_BOOT)
+    t = H.line_slope(written(_ladder(spark, sf), "ladder"), N_BOOT)  # asked several times, pairs are met once
     return t.select("points", *[rounded(c, 5).alias(c) for c in ("slope", "lo", "hi")])
 
 

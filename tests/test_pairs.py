@@ -56,6 +56,13 @@ def test_counts_in_small_blocks(tables, monkeypatch):
     test_counts(tables, monkeypatch, (P.GENES, P.PEAKS))
 
 
+@pytest.mark.parametrize("query", [added.line_slope_seeds])
+def test_pairs_are_met_once(spark, query):
+    """What asks for the counts several times reads them from a table (before: each time met all pairs anew)."""
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") < 2
+
+
 @pytest.mark.parametrize("sizes", [(P.GENES, P.PEAKS), (7, 11)])
 def test_counts(tables, monkeypatch, sizes):
     genes, peaks, g, p = tables
