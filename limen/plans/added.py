@@ -136,7 +136,7 @@ def ladder_weighted_fit(spark, sf):
 @query(f"""WITH {GENES}, {K._LINK}, {K._STR}, m AS ({K._MH.format(k='chrom')}), e AS (SELECT chrom, ln(R / S) AS l, {K._SE} FROM m WHERE R > 0 AND S > 0), f AS (SELECT l, l - 1.96 * se AS lo, l + 1.96 * se AS hi, ln(n) AS x FROM e JOIN (SELECT chrom, sum(a + b) AS n FROM t GROUP BY 1) USING (chrom))
 SELECT count(*) AS configs, count(*) FILTER (exp(lo) > 1) AS enriched, count(*) FILTER (exp(hi) < 1) AS depleted, round(regr_slope(l, x), 4) AS slope, round(corr(x, l), 4) AS r FROM f""")
 def link_summary_flags(spark, sf):
-    t = K._strata(spark, sf)
+    t = written(K._strata(spark, sf), "strata")  # asked twice, pairs are met once
     n = t.groupBy("chrom").agg(F.sum(F.col("a") + F.col("b")).alias("n"))
     s = H.link_summary(L.mantel_haenszel(t, "chrom").join(n, "chrom"))
     return s.select("configs", "enriched", "depleted", rounded("slope", 4).alias("slope"), rounded("r", 4).alias("r"))
