@@ -13,6 +13,7 @@ from limen.operators import tests as T
 from limen.plans import catalogue as K
 from limen.plans.catalogue import query, shown
 from limen.plans.domain import COUNTS, GENES, read
+from limen.sources.scratch import written
 
 N_BOOT = 2000
 
@@ -98,7 +99,7 @@ SELECT tb.chrom, round((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)), 6) AS od
 @query(_BINOM)
 def odds_ratio_binomial(spark, sf):
     """Odds ratios with intervals of 2,000 binomial draws."""
-    t = K._links(spark, sf).groupBy("chrom").agg(*K._table())
+    t = written(K._links(spark, sf).groupBy("chrom").agg(*K._table()), "odds")  # asked several times, pairs are met once
     return shown(E.odds_ratio_intervals(t, "chrom", N_BOOT).select("chrom", "odds_ratio", "lo", "hi"))
 
 

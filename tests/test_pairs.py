@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from limen.functions.hashing import Crossed, Joined
 from limen.operators import pairs as P
-from limen.plans import added, catalogue as K, rest
+from limen.plans import added, catalogue as K, models, rest
 
 W, NEAR = 50, 6
 
@@ -56,7 +56,7 @@ def test_counts_in_small_blocks(tables, monkeypatch):
     test_counts(tables, monkeypatch, (P.GENES, P.PEAKS))
 
 
-@pytest.mark.parametrize("query", [added.line_slope_seeds, added.link_summary_flags])
+@pytest.mark.parametrize("query", [added.line_slope_seeds, added.link_summary_flags, models.odds_ratio_binomial])
 def test_pairs_are_met_once(spark, query):
     """What asks for the counts several times reads them from a table (before: each time met all pairs anew)."""
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
