@@ -16,7 +16,7 @@ from limen.plans import catalogue as K
 from limen.plans.catalogue import query, shown
 from limen.plans.domain import GENES, PAIRS, WINDOW, genes, pairs, peaks, read
 from limen.sources.genomic import read_dictionary
-from limen.sources.scratch import place
+from limen.sources.scratch import place, written
 
 N_BOOT = 1000
 
@@ -74,7 +74,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY round(abs(x - log_or), 9) DESC, chro
 SELECT round(any_value(log_or), 6) AS log_or, round(min(x), 6) AS low, round(max(x), 6) AS high, string_agg(chrom, ',' ORDER BY k) FILTER (k <= 3) AS worst FROM r""")
 def jackknife_summary(spark, sf):
     """Range of the log odds ratio when a chromosome is left out, and the three that move it most."""
-    t = K._links(spark, sf).groupBy("chrom").agg(*K._table())
+    t = written(K._links(spark, sf).groupBy("chrom").agg(*K._table()), "odds")  # asked twice, pairs are met once
     return shown(L.leave_one_out_summary(t, "chrom"))
 
 

@@ -56,7 +56,7 @@ def test_counts_in_small_blocks(tables, monkeypatch):
     test_counts(tables, monkeypatch, (P.GENES, P.PEAKS))
 
 
-@pytest.mark.parametrize("query", [added.line_slope_seeds, added.link_summary_flags, models.odds_ratio_binomial])
+@pytest.mark.parametrize("query", [added.line_slope_seeds, added.link_summary_flags, models.odds_ratio_binomial, rest.jackknife_summary])
 def test_pairs_are_met_once(spark, query):
     """What asks for the counts several times reads them from a table (before: each time met all pairs anew)."""
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
