@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_ranked, saved, ship
+from .common import own_caches, range_ranked, saved, ship
 
 CAPACITY = 2048
 #: Chunks whose ids a worker keeps.
@@ -109,9 +109,10 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    known = own_caches("packing", _encoders)
+    if path not in known:
+        known[path] = ChunkEncoder(path)
+    return known[path]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:

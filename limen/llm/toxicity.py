@@ -122,9 +122,14 @@ class Words:
 _words: dict[int, Words] = {}
 
 
+def words_alone() -> dict[int, Words]:
+    """The worker's tables of words, after those of other operators are emptied."""
+    return own_caches("toxicity", _words)
+
+
 def words_of(key: int, lexicon: dict[str, float]) -> Words:
     """The worker's own table for one lexicon; only the latest is kept."""
-    known = own_caches("toxicity", _words)
+    known = words_alone()
     if key not in known:
         known.clear()
         known[key] = Words(lexicon)
@@ -239,8 +244,9 @@ def learn_stems(train: DataFrame) -> list[dict[str, float]]:
     def of_docs(batches, wanted):
         import pyarrow as pa
 
-        from limen.llm.toxicity import FOLDS, plain, stems
+        from limen.llm.toxicity import FOLDS, plain, stems, words_alone
 
+        words_alone()
         counts: dict[str, list[int]] = {}
         for b in batches:
             for text, y, fold in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -311,8 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def measure(batches):
         import pyarrow as pa
 
-        from limen.llm.toxicity import Words
+        from limen.llm.toxicity import Words, words_alone
 
+        words_alone()
         tables = [Words(x) for x in shared.value]
         for b in batches:
             x = [tables[f].features(t).tolist() for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
