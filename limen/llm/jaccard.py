@@ -49,7 +49,7 @@ ASKS, CELLS = 2048, 1 << 22
 LEADER_ROUNDS = 3
 #: Tokens that a node and its leader share for a comparison in the partition; pairs below are left to the matrix.
 LEAST_VOTES = 5
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 FILTER_BITS = 1 << 24
 
 _hashes: dict[bytes, int] = {}

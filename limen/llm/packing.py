@@ -26,7 +26,7 @@ from .common import own_caches, range_ranked, saved, ship
 
 CAPACITY = 2048
 #: Chunks whose ids a worker keeps.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 200_000
 #: Outside of these code points the pattern of the ranks is not relied upon.
 _RARE = re.compile(r"[^\x00-ɏ]")
 _SPECIAL = "<|"

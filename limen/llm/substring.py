@@ -39,7 +39,7 @@ WINDOW = 15
 RUN = 4
 #: Hashes of RUN words: 24 bits of each word's MD5, times powers of FACTOR, modulo PRIME; SQL can compute them as well.
 FACTOR, PRIME = 48271, 2**31 - 1
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 _BLANK = re.compile(rb"\n(?:[\x20\x09-\x0D]*\n)+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
