@@ -4,6 +4,7 @@ import hashlib
 import os
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,36 @@ def test_hash_numbers_of_blocks():
         assert got.tolist() == [[bits((h + t).decode()) for t in tails[1:]] for h in heads[1:]]
 
 
+def test_last_line_of_room_is_free():
+    """Whoever takes the numbers may use it for their remainders."""
+    for head, tail in ((3, 3), (0, 4), (13, 7), (40, 6)):
+        room = np.empty((6, 64), np.uint32)
+        got = Crossed([b"a" * head, b"b" * head], [bytes([48 + k]) * tail for k in range(5)]).numbers(0, 2, 1, 5, room)
+        assert np.shares_memory(got, room) and not np.shares_memory(got, room[5])
+
+
+@pytest.mark.parametrize("rows, wide", [(1, 1), (1, 64), (3, 64), (5, 13), (7, 129)])
+def test_between(rows, wide):
+    rng = np.random.default_rng(wide)
+    hit = rng.random((rows, wide)) < 0.4
+    ends = np.sort(rng.integers(0, wide + 1, (rows, 6)), axis=1)
+    ends[:, 0], ends[:, -1] = 0, wide
+    assert P._between(hit, ends).tolist() == [[int(h[a:b].sum()) for a, b in zip(e, e[1:])] for h, e in zip(hit, ends)]
+
+
+def test_marks_are_counted_in_bits():
+    """Before: a running sum of four bytes for each pair and limit."""
+    hit = np.ones((8, 1 << 13), bool)
+    ends = np.tile(np.array([0, 100, 1 << 13]), (8, 1))
+    P._between(hit, ends)
+    tracemalloc.start()
+    try:
+        assert P._between(hit, ends).sum() == hit.size
+        assert tracemalloc.get_traced_memory()[1] < hit.size
+    finally:
+        tracemalloc.stop()
+
+
 def test_counts_in_small_blocks(tables, monkeypatch):
     monkeypatch.setattr(P, "ROOM", 40)
     test_counts(tables, monkeypatch, (P.GENES, P.PEAKS))
