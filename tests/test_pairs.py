@@ -157,3 +157,10 @@ def test_executors_need_no_copy():
     for f in (P._met, hashing.Joined):
         code = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())"
         subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(f), cwd="/", env={"PATH": os.environ["PATH"]}, check=True)
+
+
+def test_links_are_not_shuffled(spark):
+    """Pairs are joined with no table of ids (before: all of them were shuffled where the ids were too many to broadcast)."""
+    plan = added.restrict_to_tested(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    first, *others = plan.split("FlatMapCoGroupsInArrow")
+    assert len(others) == 3 and "Join" not in first and plan.count("LeftSemi") == 1
