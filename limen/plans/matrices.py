@@ -21,9 +21,11 @@ SPAN = 2000
 
 
 def _quantities(spark, sf) -> Matrix:
-    """Quantities of lineitem as a matrix of features and orders, written and opened."""
+    """Quantities of lineitem as a matrix of features and orders, written in the order of its columns and opened."""
     orders = read(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] + 1
-    li = read(spark, sf, "lineitem").groupBy((F.col("l_partkey") % FEATURES).alias("row"), F.col("l_orderkey").alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+    li = read(spark, sf, "lineitem").select((F.col("l_partkey") % FEATURES).alias("row"), F.col("l_orderkey").alias("col"), F.col("l_quantity").cast("long").alias("value"))
+    # ranges of columns serve the sums as well: one shuffle
+    li = li.repartitionByRange("col").groupBy("row", "col").agg(F.sum("value").alias("value")).sortWithinPartitions("col", "row")
     path = place(spark, "matrix")
     write_matrix(li, path, FEATURES, orders)
     return open_matrix(spark, path, rows=FEATURES, cols=orders, split=SPLIT)

@@ -26,11 +26,18 @@ def bulk_by_batch(spark: SparkSession, path: str, cells: DataFrame, groups: list
     """Pseudobulk of a MatrixMarket file in micro-batches that resume within the file: each batch writes its sums to a
     folder of its own below work, so a batch that is repeated overwrites what it wrote.
 
-    cells: col and the groups of each column. The checkpoint and the reader's notes lie below work as well."""
+    cells: col and the groups of each column. They are written once, in the order of col, and a batch asks for those
+    between its least and largest column: where the file has its columns in order, each cell is read by a batch or two.
+    The checkpoint and the reader's notes lie below work as well."""
     from limen.sources.matrix_market import matrix_stream
 
+    held = f"{work}/cells"
+    cells.repartitionByRange("col").sortWithinPartitions("col").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(held)
+
     def sums(batch: DataFrame, number: int) -> None:
-        rows = batch.join(cells, "col").withColumnRenamed("row", "feature").where("value <> 0")
+        low, high = batch.agg(F.min("col"), F.max("col")).first()
+        near = batch.sparkSession.read.schema(cells.schema).parquet(held).where(F.col("col").between(low, high))
+        rows = batch.join(near, "col").withColumnRenamed("row", "feature").where("value <> 0")
         rows.groupBy(*groups, "feature").agg(F.sum("value").alias("count")).write.mode("overwrite").parquet(f"{work}/sums/batch={number}")
 
     stream = matrix_stream(spark, path, f"{work}/progress", max_bytes, split)

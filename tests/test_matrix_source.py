@@ -4,6 +4,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from limen.sources.genomic import read_dictionary
 from limen.sources.matrix_market import Bytes, open_matrix, parse, write_matrix
@@ -132,6 +133,32 @@ def test_stream_resumes_within_the_file(spark, tmp_path):
     assert {(r.grp, r.feature): r["count"] for r in matrix_bulk(spark, work, ["grp"]).collect()} == expected
 
 
+def test_batches_ask_for_their_cells(spark, tmp_path):
+    """Cells are made ready once (before: every batch read and shuffled all of them)."""
+    lines = [f"{k % 7 + 1} {c + 1} {k % 5 + 1}" for c in range(600) for k in range(4)]
+    path = tmp_path / "m.mtx"
+    path.write_text("\n".join(["%%MatrixMarket matrix coordinate integer general", f"7 600 {len(lines)}", *lines]))
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def group(c):
+        asked.add(1)
+        return f"g{c % 3}"
+
+    cells = spark.range(600).select(F.col("id").alias("col"), group.asNondeterministic()("id").alias("grp"))
+    work = f"file://{tmp_path}/work"
+    finish(bulk_by_batch(spark, str(path), cells, ["grp"], work, path.stat().st_size // 9, 512))
+    assert len(list((tmp_path / "work" / "sums").glob("batch=*"))) >= 9 and asked.value <= 3 * 600
+    assert sum(r["count"] for r in matrix_bulk(spark, work, ["grp"]).collect()) == sum(int(x.split()[2]) for x in lines)
+
+
+def test_matrix_is_written_in_the_order_of_its_columns(spark):
+    from limen.plans.matrices import _quantities
+
+    at = [r.col for r in _quantities(spark, "/root/testdata/sf0.001").entries.select("col").collect()]
+    assert at == sorted(at)
+
+
 def files_read(df):
     """Files that the scans of a plan open, after partition pruning."""
     leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
